@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder for a written table or binary files."""
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that Python functions run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kindred_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="kindred-code-")) / "kindred.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._kindred_shipped = True
