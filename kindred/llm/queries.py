@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, sharding
+from kindred.llm import mixing, neardup, packing, sharding
 
 QUERIES = {
+    "op1_neardup": neardup.op1_neardup,
+    "op9_packing": packing.op9_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": sharding.op8_sharding,
 }
