@@ -20,7 +20,8 @@ CACHE_PIECES, CACHE_CHARS = 400_000, 48
 #: White space other than space and newline, as the cutting rule must see it.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([.,]?)\Z")
+#: Letters, then marks other than the apostrophe: two parts of the vocabulary's splitting pattern.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 def default_vocabulary() -> str:
@@ -51,6 +52,8 @@ class Encoder:
         self._full.no_truncation()
         self._model = self._full.model
         self._letters = _byte_letters()
+        self._space = self._letters[32]
+        self._newline = [t.id for t in self._model.tokenize(self._letters[10])]
         self._clear()
 
     @classmethod
@@ -62,16 +65,23 @@ class Encoder:
 
     def _clear(self) -> None:
         self._flat, self._ends = array("I"), array("q", [0])
-        self._inner, self._first = _Places(self, " "), _Places(self, "")
+        self._inner, self._first, self._marks = _Places(self, " "), _Places(self, ""), _Marks(self._model)
 
     def _add(self, piece: str) -> int:
         """Encode one piece and give its place among the kept ones."""
-        m = _PLAIN.match(piece, 1) if piece[:1] == " " else _PLAIN.match(piece)
+        lead = piece[:1]
+        m = _PLAIN.match(piece, 1) if lead == " " or lead == "\n" else _PLAIN.match(piece)
         if m:
-            word = piece[: m.end(1)].encode().decode("latin-1").translate(self._letters)
+            word, marks = m[1], m[2]
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self._letters)
+            if lead == " ":
+                word = self._space + word
             ids = [t.id for t in self._model.tokenize(word)]
-            if m[2]:
-                ids += [t.id for t in self._model.tokenize(m[2])]
+            if lead == "\n":
+                ids = self._newline + ids
+            if marks:
+                ids += self._marks[marks]
         else:
             ids = self._full.encode(piece, add_special_tokens=False).ids
         self._flat.extend(ids)
@@ -92,9 +102,10 @@ class Encoder:
         for text in texts:
             was = len(places)
             if text:
-                pieces = text.split(" ")
-                if any(c in text for c in OTHER_SPACE) or len(text.split()) - len(pieces) != text.count("\n"):
+                if any(c in text for c in OTHER_SPACE) or len(text.split()) - 1 != text.count("\n") + text.count(" "):
                     pieces = _CUT.split(text)
+                else:  # white space is single spaces and newlines between other characters: a newline opens a piece too
+                    pieces = text.replace("\n", " \n").split(" ")
                 places.append(self._first[pieces[0]])
                 places.extend(map(self._inner.__getitem__, pieces[1:]))
             if stop is not None:
@@ -117,12 +128,25 @@ class _Places(dict):
         self._owner, self._lead = owner, lead
 
     def __missing__(self, piece: str) -> int:
-        place = self._owner._add(self._lead + piece)
+        place = self._owner._add(piece if piece[:1] == "\n" else self._lead + piece)
         if len(piece) <= CACHE_CHARS:
             self[piece] = place
         return place
 
 
+class _Marks(dict):
+    """ASCII marks -> their ids."""
+
+    def __init__(self, model):
+        self._model = model
+
+    def __missing__(self, marks: str) -> list[int]:
+        ids = [t.id for t in self._model.tokenize(marks)]
+        if len(self) < 10_000 and len(marks) <= CACHE_CHARS:
+            self[marks] = ids
+        return ids
+
+
 def groups_by_size(texts: list[str | None], most: int = 1 << 19):
     """(from, to) runs of the list of at most ``most`` characters, or of one longer text."""
     at, size = 0, 0
