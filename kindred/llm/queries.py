@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, neardup, packing, sharding
+from kindred.llm import language, media, mixing, neardup, packing, pii, secrets, sharding, vectors
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
-    "op9_packing": packing.op9_packing,
+    "op2_secrets": secrets.op2_secrets,
+    "op3_media": media.op3_media,
+    "op4_pii": pii.op4_pii,
+    "op6_vectors": vectors.op6_vectors,
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": sharding.op8_sharding,
+    "op9_packing": packing.op9_packing,
+    "op10_language": language.op10_language,
 }
 
 ORACLE_SQL = {
+    "op6_vectors": vectors.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
