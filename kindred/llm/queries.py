@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kindred.llm import language, media, mixing, neardup, packing, pii, secrets, sharding, vectors
+from kindred.llm import language, media, mixing, neardup, packing, pii, secrets, sharding, tokenfile, vectors
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
     "op2_secrets": secrets.op2_secrets,
     "op3_media": media.op3_media,
     "op4_pii": pii.op4_pii,
+    "op5_tokenfile": tokenfile.op5_tokenfile,
     "op6_vectors": vectors.op6_vectors,
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": sharding.op8_sharding,
