@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kindred.llm import language, mixing, neardup, packing, pii
-from kindred.session import scratch_path
+from kindred.session import cut, scratch_path
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +19,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more); repeated rows of an id become one."""
-    kept = neardup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n"))
-    kept = kept.persist()
+    kept = neardup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__kindred_kept_id")).agg(F.count(F.lit(1)).alias("n"))
+    kept = cut(kept)
     repeated = kept.where("n > 1").limit(1).count() > 0
-    out = docs.join(kept.select("kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    out = docs.join(kept.select("__kindred_kept_id"), F.col("doc_id").eqNullSafe(F.col("__kindred_kept_id")), "left_semi")
     return out.dropDuplicates(["doc_id"]) if repeated else out
 
 
@@ -33,9 +33,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or as whole copies."""
-    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("n_copies")).where("n_copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return taken.withColumn("nth_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(docs.columns)
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("__kindred_mixed_id")).agg(F.max("copies").alias("__kindred_copies")).where("__kindred_copies > 0")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__kindred_mixed_id")))
+    return taken.withColumn("__kindred_nth", F.explode(F.sequence(F.lit(1), F.col("__kindred_copies")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
