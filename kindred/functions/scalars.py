@@ -109,10 +109,14 @@ def ensemble(vectors: list[Column], how: str = "average", weights: list[float] |
     weights = [1.0 / len(vectors)] * len(vectors) if how == "average" else [w / sum(weights) for w in weights]
     out = F.transform(vectors[0], lambda x: x * F.lit(weights[0]))
     for v, w in zip(vectors[1:], weights[1:], strict=True):
-        out = F.zip_with(out, v, lambda x, y, w=w: x + y * F.lit(w))
+        out = _plus(out, v, w)
     return out
 
 
+def _plus(a: Column, b: Column, weight: float) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y * F.lit(weight))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
