@@ -28,6 +28,8 @@ from kindred.llm.words import text_buffers
 from kindred.session import ship
 
 BUCKETS, SIZE, SUBWORDS = 1 << 15, 16, 400
+#: Fewest steps of gradient descent: small samples are gone through more often.
+LEAST_STEPS = 800
 #: Bytes handled at once.
 BLOCK = 1 << 20
 
@@ -129,6 +131,7 @@ def fit(samples: list[tuple[str, list[int]]], epochs: int = 6, rate: float = 0.5
     w += rng.standard_normal(w.shape).astype(np.float32) * 0.1
     train = np.array([i for i in range(len(samples)) if i not in held] or list(range(len(samples))), np.int64)
     size = 32
+    epochs = max(epochs, -(-LEAST_STEPS * size // max(len(train), 1)))
     steps, total = 0, epochs * -(-len(train) // size)
     for _ in range(epochs if labels else 0):
         rng.shuffle(train)

@@ -117,7 +117,7 @@ def labelled_samples(n: int, length: int, seed: int) -> tuple[np.ndarray, np.nda
         if form < 4:
             return f"{local}@{host}.{top}"
         at, dot = pick([(" at ", " dot "), ("[at]", "."), (" (at) ", "."), (" @ ", "."), ("[at]", "[dot]"), (" at ", ".")])
-        return f"{local.replace('.', dot if dot != ' dot ' else '.')}{at}{host.split('.')[0]}{dot}{top}"
+        return f"{local}{at}{host if dot == '.' else host.replace('.', dot)}{dot}{top}"
 
     def ip() -> str:
         part = [str(int(x)) for x in rng.integers(0, 256, 4)]
@@ -299,8 +299,8 @@ class Tagger:
         grads["letters"] = np.ascontiguousarray(by_class.T)
         return float((log_z.sum() - gold) / total), grads
 
-    def fit(self, steps: int = 600, lanes: int = 64, length: int = 96, rate: float = 0.02, seed: int = 11) -> Tagger:
-        x, y = labelled_samples(lanes * 24, length, seed)
+    def fit(self, steps: int = 1000, lanes: int = 64, length: int = 96, rate: float = 0.02, seed: int = 11) -> Tagger:
+        x, y = labelled_samples(lanes * 32, length, seed)
         rng = np.random.Generator(np.random.PCG64(seed))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -348,7 +348,7 @@ class Tagger:
 
 
 @functools.lru_cache(maxsize=4)
-def trained_tagger(units: int = UNITS, steps: int = 600) -> Tagger:
+def trained_tagger(units: int = UNITS, steps: int = 1000) -> Tagger:
     """The tagger, trained once per process from generated spans with fixed seeds."""
     return Tagger(units).fit(steps)
 
@@ -369,6 +369,26 @@ def plausible(kind: str, text: str) -> bool:
     return 9 <= digits <= 15 and all(c in "0123456789 -.()+" for c in text)
 
 
+#: Written forms of each kind, wider than the patterns; they say where a span that the tagger found begins and ends.
+_FORMS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|\(at\)|\[at\]|\bat\b)\s?[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\bdot\b)\s?[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]{1,3}(?:\s?(?:\.|\[\.\])\s?[0-9]{1,3}){3}"),
+    "card": re.compile(r"[0-9](?:[\x20.-]{0,2}[0-9]){12,18}"),
+    "phone": re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){8,14}"),
+}
+#: Characters around a tagged run in which its form may reach out.
+_REACH = 24
+
+
+def settle(kind: str, text: str, a: int, b: int) -> tuple[str, int, int] | None:
+    """The plausible written form that covers at least half of a tagged run, if there is one."""
+    lo = max(0, a - _REACH)
+    for m in _FORMS[kind].finditer(text, lo, b + _REACH):
+        if 2 * (min(b, m.end()) - max(a, m.start())) >= b - a and plausible(kind, m[0]):
+            return kind, m.start(), m.end()
+    return None
+
+
 def reconcile(base: list[tuple[str, int, int]], tagged: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """All pattern spans, and those tagged ones that overlap none of them; by kind, then start."""
     taken = sorted((a, b) for _, a, b in base)
@@ -389,12 +409,8 @@ def spans_of(texts: list[str | None], tagger: Tagger) -> Iterator[tuple[list, li
         for tag, a, b in tagger.tags(np.concatenate(coded), offsets):
             i = int(np.searchsorted(offsets, a, "right")) - 1
             a, b = a - int(offsets[i]), b - int(offsets[i])
-            span = own[i][a:b]
-            a, b = a + len(span) - len(span.lstrip(" .,([")), b - (len(span) - len(span.rstrip(" .,-([")))
-            if span.startswith("("):
-                a = b - len(span.rstrip(" .,-([")) if b > a else a
-            if a < b and plausible(KINDS[tag - 1], own[i][a:b]):
-                tagged[i].append((KINDS[tag - 1], a, b))
+            if (settled := settle(KINDS[tag - 1], own[i], a, b)) and settled not in tagged[i]:
+                tagged[i].append(settled)
         for t, more in zip(own, tagged, strict=True):
             base = base_spans(t)
             yield base, reconcile(base, more)
