@@ -148,7 +148,8 @@ def parse_files(files: DataFrame, parser: str | Callable = "lines", config: Pars
                         out.append(head | block | {"error": None})
                 except (SyntaxError, ValueError) as e:
                     out.append(head | {"error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _BLOCKS.split(", ")]).astype({"start_line": "Int32", "end_line": "Int32"})
+            table = pd.DataFrame(out, columns=[c.split()[0] for c in _BLOCKS.split(", ")], dtype=object)
+            yield table.where(table.notna(), None).astype({"start_line": "Int32", "end_line": "Int32"})
 
     return files.select("path", "content", "language").mapInPandas(run, _BLOCKS)
 
