@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_vectors": vectors.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_sharding": sharding.OP8_SQL,
 }

@@ -7,7 +7,7 @@ contiguous shards. A group of equal texts goes whole to the shard that holds its
 than half a shard: then its rows are cut at the targets like any others.
 
 Only narrow rows (digest, id, size, checksum) are shuffled, once. A group of copies is dealt over up to
-``SLICES`` slices, so a text that fills a third of the table does not meet in one task.
+256 slices, so a text that fills a third of the table does not meet in one task.
 
 Defined results: a null text has size 1 and checksum 0 and forms one group of its own with the other null
 texts; an empty text likewise has size 1; equal rows get different slots; an empty table gives no rows; other
@@ -21,8 +21,8 @@ from pyspark.sql.window import Window as W
 
 from kindred.session import cut
 
-#: Slices into which the copies of one text are dealt.
-SLICES = 256
+#: Slices into which the copies of one text are dealt, as hexadecimal digits of the id's MD5: 16 ** 2.
+SLICE_DIGITS = 2
 #: Ranges of the digest, as hexadecimal digits: 16 ** 3 totals in the top prefix sum.
 RANGE_DIGITS = 3
 
@@ -36,7 +36,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("digest"),
     )
-    slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")
+    slice_ = F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, SLICE_DIGITS), F.lit(""))
     rows = cut(rows.withColumn("slice", slice_))
 
     slices = rows.groupBy("digest", "slice").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
@@ -86,3 +86,30 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard_by_bytes(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_table() -> list[int]:
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+OP8_SQL = f"""
+WITH crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
+bytes AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+docs AS (
+  SELECT doc_id, len(b)::BIGINT + 1 AS size, coalesce(md5(text), '') AS digest, coalesce(substr(md5(doc_id::VARCHAR), 1, 2), '') AS slice,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM bytes CROSS JOIN crc
+), line AS (
+  SELECT *, sum(size) OVER (ORDER BY digest, slice, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start, row_number() OVER (ORDER BY digest, slice, doc_id NULLS FIRST, size) - 1 AS place,
+         sum(size) OVER (PARTITION BY digest) AS group_bytes, sum(size) OVER () AS total FROM docs
+), grouped AS (SELECT *, min(start) OVER (PARTITION BY digest) AS group_start FROM line
+), cut AS (
+  SELECT *, least(floor((CASE WHEN group_bytes * 32 <= total THEN 2 * group_start + group_bytes ELSE 2 * start + size END)::DOUBLE * 16 / (2 * total)::DOUBLE), 15)::INT AS shard FROM grouped
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM cut
+"""
