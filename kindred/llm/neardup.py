@@ -7,11 +7,13 @@ in a register with a probability that grows with their Jaccard similarity.
 
 1. Equal sets collapse to classes first: a thousand copies are one row from here on.
 2. Registers are banded; classes that agree in a whole band meet in a bucket. Each meets only the bucket's
-   first class, so a bucket of any size gives one candidate per member, not all pairs.
+   head (the class that meets most others, so the text that the others were copied from), which gives one candidate
+   per member, not all pairs.
 3. A candidate is kept if the likelihood of the registers' comparisons (more, fewer, equal), given both exact set
-   sizes, has its maximum near or above the threshold; then the full sets are intersected.
-4. Components of the links are found. Where one bucket still holds several components, their members
-   meet across components (by the same filters), so a link that the first class missed is found.
+   sizes, has its maximum near or above the threshold; then the full sets are compared.
+4. Components of the links are found. Where one bucket still holds several components, members of different ones
+   are compared in bounded blocks by their differences from the head, which give the size of their intersection
+   exactly; only links come out of a block, not pairs.
 
 Links are exact on 64-bit shingle hashes; the band table misses a pair at exactly the threshold with a
 probability of ``(1 - p ** rows) ** bands``, about 3e-5 by default.
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm import words
-from kindred.llm.graph import components
+from kindred.operators.components import components
 from kindred.session import cut, ship
 
 #: Registers per band and bands; base and rate of the exponential scale.
 ROWS, BANDS, BASE, RATE = 5, 24, 1.1, 20.0
+#: Members of a block where the members of a large bucket are compared.
+BLOCK_MEMBERS = 2000
 #: Standard deviations that the estimate may lie below the threshold.
 SLACK = 4.5
 
@@ -121,53 +125,68 @@ def _set_batch(known: list, sets: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(known, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["digest", "shingles"])
 
 
-def _likely(threshold: float):
-    """mapInArrow function that keeps pairs whose registers make the threshold likely; drops the registers."""
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / (ROWS * BANDS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keep = np.zeros(batch.num_rows, bool)
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("ra", "rb"))
-                    na, nb = (part.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-                    keep[at : at + 2048] = jaccard_estimate(ra, rb, na, nb) >= least
-                batch = batch.filter(pa.array(keep))
-            yield batch.select(["a", "b"])
-
-    return run
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: pairs with both sizes and registers to (a, b, na, nb, estimate)."""
+    for batch in batches:
+        found = np.zeros(batch.num_rows)
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("ra", "rb"))
+            na, nb = (part.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
+            found[at : at + 2048] = jaccard_estimate(ra, rb, na, nb)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(found)], ["a", "b", "na", "nb", "estimate"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
     percent = round(threshold * 100)
+    slack = SLACK * math.sqrt(threshold * (1 - threshold) / (ROWS * BANDS))
     rows = cut(docs.select("doc_id", "text").mapInArrow(sketch_rows(width), "doc_id long, n_shingles long, digest binary, registers binary"))
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = cut(classes)
 
+    # Buckets of two classes or more, each with its head: the class that meets most others over all its buckets.
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, ROWS)))
     banded = classes.select("digest", "n", F.explode(bands).alias("band"))
-    heads = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("digest", "n")).alias("head")).where("size > 1").drop("size")
-    met = cut(banded.join(heads, "band").select("band", "digest", "n", "head"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = cut(banded.join(sizes, "band"))
+    weight = met.groupBy("digest").agg(F.sum("size").alias("weight"))
+    met = met.join(weight, "digest")
+    heads = met.groupBy("band").agg(F.max_by(F.struct("digest", "n"), F.struct("weight", "digest")).alias("head"))
+    met = cut(met.join(heads, "band").select("band", "digest", "n", F.col("head.digest").alias("head"), F.col("head.n").alias("head_n")))
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    first = met.where(F.col("digest") != F.col("head.digest")).where(near(F.col("n"), F.col("head.n"))).select(F.col("head.digest").alias("a"), F.col("digest").alias("b")).distinct()
-    tried = cut(first)
-    links = _verified(docs, classes, tried, width, threshold, percent)
+    enough = lambda shared, x, y: shared * (100 + percent) >= (x + y) * percent
+    tried = met.where("digest <> head").where(near(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct()
+    guessed = _with_estimates(classes, tried)
+    measured = _measured(docs, classes, guessed.where(F.col("estimate") >= threshold - slack), width)
+    links = measured.where(enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
     roots = components(links)
 
-    held = met.select("band", "digest", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    # Buckets that still hold several components. Members measured against the head are compared by their differences from it;
+    # the rest (far from the head) meet only those with whom what they may share with the head leaves room for a link.
+    held = met.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     held = cut(held)
     split = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     held = held.join(split, "band", "left_semi")
-    x, y = held.alias("x"), held.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n")))
+    most = F.least(F.col("estimate") + 2 * slack, F.lit(1.0))
+    bound = guessed.select(F.col("a").alias("head"), F.col("b").alias("digest"), F.floor(most / (1 + most) * (F.col("na") + F.col("nb"))).alias("bound"))
+    exact = measured.select(F.col("a").alias("head"), F.col("b").alias("digest"), "shared", "apart")
+    smaller = F.least(F.col("n"), F.col("head_n"))
+    held = cut(held)
+    blind = held.join(bound, ["head", "digest"], "left").join(exact.select("head", "digest", "shared"), ["head", "digest"], "left")
+    known = (F.col("digest") == F.col("head")) | F.col("shared").isNotNull()
+    within = F.when(F.col("digest") == F.col("head"), F.col("n")).otherwise(F.coalesce("shared", F.least("bound", smaller), smaller))
+    blind = cut(blind.select("band", "digest", "n", "root", within.alias("within"), known.alias("known")))
+    x, y = blind.alias("x"), blind.where("not known").alias("y")
+    roomy = enough(F.least("x.within", "y.within"), F.col("x.n"), F.col("y.n"))
+    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & near(F.col("x.n"), F.col("y.n")) & roomy)
     across = across.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(docs, classes, across.join(known, ["a", "b"], "left_anti"), width, threshold, percent)
+    tried_pairs = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _with_estimates(classes, across.join(tried_pairs, ["a", "b"], "left_anti")).where(F.col("estimate") >= threshold - slack)
+    more = _measured(docs, classes, more, width).where(enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+    more = more.union(_linked_beside_heads(held, exact, roots, percent))
     final = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = classes.select("digest", "first_id").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -178,20 +197,97 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, threshold: float, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose full sets reach the threshold."""
+def _with_estimates(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, na, nb, estimate) of pairs (a, b) of classes."""
     side = classes.select("digest", "n", "registers")
     with_a = pairs.join(side.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
     with_b = with_a.join(side.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b")
-    likely = cut(with_b.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(threshold), "a binary, b binary"))
-    needed = likely.select(F.col("a").alias("digest")).union(likely.select(F.col("b").alias("digest"))).distinct()
+    return cut(with_b.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated, "a binary, b binary, na long, nb long, estimate double"))
+
+
+def _measured(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(a, b, na, nb, shared, apart) of pairs of classes from their full sets: the number in common, and the shingles that only one has."""
+    needed = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     wanted = needed.join(classes.select("digest", "first_id"), "digest")
     texts = wanted.join(docs.select("doc_id", "text"), F.col("first_id").eqNullSafe(F.col("doc_id"))).select("digest", "text")
     sets = cut(texts.mapInArrow(set_rows(width), "digest binary, shingles array<bigint>").dropDuplicates(["digest"]))
-    pairs = likely.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
-    pairs = pairs.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return cut(pairs.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"))
+    both = pairs.select("a", "b", "na", "nb").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = both.select("a", "b", "na", "nb", F.array_except("sb", "sa").alias("new"), F.array_except("sa", "sb").alias("gone"))
+    return cut(both.select("a", "b", "na", "nb", (F.col("nb") - F.size("new")).alias("shared"), F.concat("new", "gone").alias("apart")))
+
+
+def _linked_beside_heads(held: DataFrame, exact: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a head's buckets that lie in different components.
+
+    With s(x) the shingles shared with the head and d(x) those in which x and the head differ, |x & y| = s(x) + s(y) - |head|
+    + |d(x) & d(y)| exactly, so the short difference lists stand for the sets. Members outside of the head's
+    component meet all others in tasks of two blocks of at most about ``BLOCK_MEMBERS`` each; only links come out.
+    """
+    head_root = roots.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
+    members = held.where("digest <> head").select("head", "head_n", "digest", "n", "root").distinct().join(exact, ["head", "digest"]).join(head_root, "head", "left")
+    members = members.withColumn("out", F.col("root") != F.coalesce("head_root", "head"))
+    counts = members.groupBy("head").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0 and n_all > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK_MEMBERS)).cast("int")
+    members = members.join(counts, "head").withColumn("outs", blocks(F.col("n_out"))).withColumn("ins", blocks(F.col("n_all") - F.col("n_out")))
+    members = members.withColumn("block", F.pmod(F.xxhash64("digest"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    block = F.col("block")
+    with_outs = F.transform(up_to(F.col("outs")), lambda o: task(block, o))
+    with_ins = F.transform(up_to(F.col("ins")), lambda m: task(m, block))
+    among = F.transform(up_to(F.col("outs")), lambda o: task(-1 - F.least(block, o), F.greatest(block, o)))
+    members = members.withColumn("task", F.explode(F.when(F.col("out"), F.concat(with_ins, among)).otherwise(with_outs)))
+    key = F.concat("head", F.lit(":"), F.col("task.i").cast("string"), F.lit(":"), F.col("task.j").cast("string"))
+    dealt = members.select(key.cast("binary").alias("key"), "digest", F.col("n").cast("long"), F.col("head_n").cast("long"), F.col("shared").cast("long"), "root", "out", "apart")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    return cut(dealt.mapInArrow(_links_by_difference(percent), "a binary, b binary"))
+
+
+def _links_by_difference(percent: int):
+    """mapInArrow function over rows sorted by key: for each member outside, one link to each other component of its task."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        digest, root = rows["digest"].to_pylist(), rows["root"].to_pylist()
+        n, shared, head_n = (rows[c].to_numpy() for c in ("n", "shared", "head_n"))
+        out = np.flatnonzero(rows["out"].to_numpy(zero_copy_only=False))
+        names = {r: i for i, r in enumerate(dict.fromkeys(root))}
+        group = np.array([names[r] for r in root])
+        lists = rows["apart"].combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        ids, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(n)), lengths)
+        starts = np.cumsum(lengths) - lengths
+        mark = np.zeros(len(ids) + 1, bool)
+        a, b = [], []
+        for x in out.tolist():
+            own = flat[starts[x] : starts[x] + lengths[x]]
+            mark[own] = True
+            common = np.bincount(owner[mark[flat]], minlength=len(n))
+            mark[own] = False
+            both = shared[x] + shared - head_n[x] + common
+            for y in np.flatnonzero((both * (100 + percent) >= (n[x] + n) * percent) & (group != group[x])).tolist():
+                if group[y] != group[x]:
+                    a.append(min(digest[x], digest[y]))
+                    b.append(max(digest[x], digest[y]))
+                    group[group == group[y]] = group[x]  # linked now: further links between the two would say the same
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            keys = table["key"].to_pylist()
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                yield links(table.slice(lo, hi - lo))
+            held = table.slice(cuts[-1]).combine_chunks().to_batches()
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
 
 
 def op1_neardup(spark, sf_dir: str) -> DataFrame:
