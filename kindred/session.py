@@ -53,6 +53,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, through the file system that holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that Python functions run where it isn't installed."""
     sc = spark.sparkContext
