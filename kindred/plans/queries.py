@@ -519,6 +519,76 @@ def m05(spark, d):
     return C.clusters(all_pairs(spark, d, 0.4)).withColumn("avg_similarity", F.round("avg_similarity", 6))
 
 
+# --- further rows of the inventory -----------------------------------------------------------------------------
+
+
+@query("b05_bucket_json", f"WITH {_HASHED} SELECT tbl, hash, '[' || string_agg(block_id::VARCHAR, ',' ORDER BY block_id) || ']' AS blocks FROM buckets GROUP BY tbl, hash")
+def b05(spark, d):
+    b = index_of(spark, d).buckets.withColumn("tbl", F.col("tbl").cast("int"))
+    return b.groupBy("tbl", "hash").agg(F.to_json(F.array_sort(F.collect_list("block_id"))).alias("blocks"))
+
+
+@query("c12_term_key", "SELECT DISTINCT concat_ws(':', role, conv_id::VARCHAR) AS term FROM conversations")
+def c12(spark, d):
+    return table(spark, d, "conversations").select(F.concat_ws(":", "role", F.col("conv_id").cast("string")).alias("term")).distinct()
+
+
+@query("c31_pair_type", "SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.text = b.text THEN 'type-1' ELSE 'type-4' END AS clone_type FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars = b.n_chars AND a.doc_id < b.doc_id")
+def c31(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("h"))
+    a, b = t.alias("a"), t.alias("b")
+    met = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.n_chars") == F.col("b.n_chars")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    return met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), S.pair_clone_type(F.lit(0.5), F.col("a.h"), F.col("b.h")).alias("clone_type"))
+
+
+@query("c32_type_names", "SELECT vec_id, CASE WHEN vec_id % 21 >= 19 THEN 'Exact' WHEN vec_id % 21 >= 15 THEN 'Renamed' WHEN vec_id % 21 >= 5 THEN 'Modified' ELSE 'Semantic' END AS name FROM embeddings")
+def c32(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", S.clone_type_name(S.clone_type((80 + F.col("vec_id") % 21) / F.lit(100.0))).alias("name"))
+
+
+@query("c38_chunk", "SELECT item_id, len(string_split(text, ' '))::INT AS words, ceil(len(string_split(text, ' ')) / 7.0)::INT AS chunks FROM benchmark")
+def c38(spark, d):
+    words = F.split("text", " ")
+    return table(spark, d, "benchmark").select("item_id", F.size(words).alias("words"), F.size(S.chunk(words, 7)).alias("chunks"))
+
+
+@query("d15_report_filter", f"WITH {_COPIES} SELECT cluster_id, block_id FROM copies WHERE size > 1 AND contains(lower(file_path), 'c1') AND language = 'en'")
+def d15(spark, d):
+    blocks, members, _ = copy_clusters(spark, d)
+    wanted = blocks.where(F.contains(F.lower("file_path"), F.lit("c1")) & (F.col("language") == "en")).select("block_id")
+    return members.join(wanted, "block_id", "left_semi").select("cluster_id", "block_id")
+
+
+@query("e03_single_table", f"WITH {_PROBED} SELECT DISTINCT query_id, b.block_id FROM probed p JOIN buckets b USING (tbl, hash) WHERE tbl = 3 AND query_id % 25 = 0")
+def e03(spark, d):
+    own = I.probe_rows(vectors_of(spark, d).where("block_id % 25 = 0").withColumnRenamed("block_id", "query_id"), LSH).where("tbl = 3")
+    return I.candidates(own, index_of(spark, d).buckets.where("tbl = 3")).select("query_id", "block_id")
+
+
+@query("e13_lookup", f"WITH {_HASHED} SELECT tbl, hash, block_id FROM buckets WHERE block_id = 11")
+def e13(spark, d):
+    return index_of(spark, d).tables_of(11).withColumn("tbl", F.col("tbl").cast("int"))
+
+
+@query("f17_clone_ratio", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1) SELECT round(sum(size - 1) / greatest((SELECT count(*) FROM documents), 1)::DOUBLE * 100, 6) AS percent FROM c")
+def f17(spark, d):
+    blocks, _, found = copy_clusters(spark, d)
+    summary = C.scan_summary(blocks, found)
+    return summary.select(F.round(F.col("clone_pairs") / F.greatest("blocks", F.lit(1)) * 100, 6).alias("percent"))
+
+
+@query("g05_first_wins", "SELECT source, arg_min(doc_id, doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
+def g05(spark, d):
+    return C.first_per(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"])
+
+
+@query("h07_report_rows", f"WITH {_PAIRS} SELECT row_number() OVER (ORDER BY similarity DESC, source_id, target_id)::INT AS row, source_id, target_id, round(similarity, 6) AS similarity FROM pairs WHERE source_id < target_id")
+def h07(spark, d):
+    found = all_pairs(spark, d, 0.4).where("source_id < target_id")
+    rows = found.withColumn("row", F.row_number().over(W.orderBy(F.desc("similarity"), "source_id", "target_id")))
+    return rows.select("row", "source_id", "target_id", F.round("similarity", 6).alias("similarity"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: vectors to hyperplane hashes, buckets, a self-join on them, verification and the best pairs."""
     pairs = Q.clone_pairs(index_of(spark, sf_dir), 0.35, 50, 4 / LSH.tables)
