@@ -170,11 +170,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     held = cut(held)
     split = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     held = held.join(split, "band", "left_semi")
-    most = F.least(F.col("estimate") + 2 * slack, F.lit(1.0))
+    held = cut(held)
+    # In these buckets members farther from the head are measured too; what is left can share too little with it to matter.
+    wide = 0.5 * SLACK / math.sqrt(ROWS * BANDS)
+    unsure = guessed.where((F.col("estimate") < threshold - slack) & (F.col("estimate") >= threshold - slack - wide))
+    here = held.select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct()
+    measured = measured.union(_measured(docs, classes, unsure.join(here, ["a", "b"], "left_semi"), width))
+    most = F.least(F.col("estimate") + wide, F.lit(1.0))
     bound = guessed.select(F.col("a").alias("head"), F.col("b").alias("digest"), F.floor(most / (1 + most) * (F.col("na") + F.col("nb"))).alias("bound"))
     exact = measured.select(F.col("a").alias("head"), F.col("b").alias("digest"), "shared", "apart")
     smaller = F.least(F.col("n"), F.col("head_n"))
-    held = cut(held)
     blind = held.join(bound, ["head", "digest"], "left").join(exact.select("head", "digest", "shared"), ["head", "digest"], "left")
     known = (F.col("digest") == F.col("head")) | F.col("shared").isNotNull()
     within = F.when(F.col("digest") == F.col("head"), F.col("n")).otherwise(F.coalesce("shared", F.least("bound", smaller), smaller))
