@@ -4,7 +4,7 @@ Vectors are compared only within their label. Equal vectors collapse to one clas
 sample (``sample_rows`` classes): each tree splits its sample at random directions near the median until a node holds at
 most ``leaf_rows``. All classes are then routed down every tree; one that lies within the spill margin of a split goes
 to both sides, so that a pair at the threshold is parted only if its projections differ by much more than such a pair's
-do. Classes that share a leaf are compared in double precision and the pairs found are united over all trees.
+do. Classes that share a leaf are compared in double precision; a pair is told by the first leaf that both lie in, so the union over trees needs no shuffle.
 
 The number of leaves is bounded by the sample, so their row counts can be broadcast; a leaf that holds more than
 ``block_rows`` rows is dealt into blocks, and each pair of blocks is one task of bounded size. No pair is skipped.
@@ -25,10 +25,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.llm.graph import components
+from kindred.operators.components import components
 from kindred.session import cut, ship
 
-TREES, LEAF_ROWS, SAMPLE_ROWS, BLOCK_ROWS = 6, 128, 50_000, 8_000
+TREES, LEAF_ROWS, SAMPLE_ROWS, BLOCK_ROWS = 4, 128, 50_000, 8_000
 #: Spill margin in standard deviations of the projected difference of a pair at the threshold.
 SPILL = 1.5
 
@@ -133,16 +133,30 @@ def _route(forest: Forest):
             for key, own in by.items():
                 raw = np.array([lists[i] for i in own], np.float64)
                 rows, leaves = forest.leaves_of(key, unit_rows(raw))
+                order = np.lexsort((leaves, rows))
+                rows, leaves = rows[order], leaves[order]
+                ends = np.searchsorted(rows, np.arange(len(raw) + 1))
+                own_leaves = [leaves[a:b].astype("<i8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 for at in range(0, len(rows), 4096):
                     r, leaf = rows[at : at + 4096], leaves[at : at + 4096]
-                    vectors = pa.array([raw[i].tobytes() for i in r], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(nodes[np.array(own)[r]].tolist(), pa.string()), pa.array([key[0]] * len(r), batch.schema.field(1).type), vectors], ["leaf", "node", "label", "vector"])
+                    vectors, lists_ = pa.array([raw[i].tobytes() for i in r], pa.binary()), pa.array([own_leaves[i] for i in r], pa.binary())
+                    names = pa.array(nodes[np.array(own)[r]].tolist(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf), names, pa.array([key[0]] * len(r), batch.schema.field(1).type), vectors, lists_], ["leaf", "node", "label", "vector", "leaves"])
 
     return run
 
 
+def _padded(lists: pd.Series) -> np.ndarray:
+    """Leaf lists as rows, filled up with the largest number."""
+    flat = [np.frombuffer(v, "<i8") for v in lists]
+    out = np.full((len(flat), max(map(len, flat))), np.iinfo(np.int64).max)
+    for i, v in enumerate(flat):
+        out[i, : len(v)] = v
+    return out
+
+
 def _compare(threshold: float):
-    """Links (a, b) between the rows of two blocks of a leaf, or within one."""
+    """Links (a, b) between the rows of two blocks of a leaf, or within one; of all the leaves that two rows share, the first tells."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -152,13 +166,23 @@ def _compare(threshold: float):
             nodes, block = own["node"].to_numpy(), own["block"].to_numpy()
             left = np.arange(len(x)) if same else np.flatnonzero(block == rows["i"].iat[0])
             right = left if same else np.flatnonzero(block != rows["i"].iat[0])
+            leaves = _padded(own["leaves"])
+            leaf = int(rows["leaf"].iat[0])
             for at in range(0, len(left), 1024):
                 some = left[at : at + 1024]
                 p, q = np.nonzero(x[some] @ x[right].T >= threshold - 1e-9)
                 p, q = some[p], right[q]
-                exact = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
-                ok = exact & ((nodes[p] < nodes[q]) if same else True)
-                found.append(pd.DataFrame({"a": np.minimum(nodes[p[ok]], nodes[q[ok]]), "b": np.maximum(nodes[p[ok]], nodes[q[ok]])}))
+                if same:
+                    once = nodes[p] < nodes[q]
+                    p, q = p[once], q[once]
+                for lo in range(0, len(p), 1 << 14):
+                    a, b = p[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
+                    ok = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                    a, b = a[ok], b[ok]
+                    met = (leaves[a][:, :, None] == leaves[b][:, None, :]) & (leaves[a] < leaf)[:, :, None]
+                    new = ~met.any(axis=(1, 2))
+                    a, b = nodes[a[new]], nodes[b[new]]
+                    found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
         return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype=object)
 
     return run
@@ -184,12 +208,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, trees: i
     del sample
 
     typed = vectors.schema["label"].dataType.simpleString()
-    routed = cut(classes.select("node", "label", "embedding").mapInArrow(_route(forest), f"leaf long, node string, label {typed}, vector binary"))
+    routed = cut(classes.select("node", "label", "embedding").mapInArrow(_route(forest), f"leaf long, node string, label {typed}, vector binary, leaves binary"))
     blocks = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # at most as many rows as the forest has leaves, and 65,536
     dealt = routed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "vector")
-    links = cut(dealt.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "a string, b string").distinct())
+    dealt = dealt.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "vector", "leaves")
+    links = cut(dealt.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "a string, b string"))
 
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(classes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
@@ -209,8 +233,8 @@ def op6_vectors(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), u AS (
   SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0
 ), links AS (
