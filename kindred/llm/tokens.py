@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 
-#: Pieces kept before the cache starts anew, and longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+#: Pieces kept before the later half of them is given up, and longest piece that is kept.
+CACHE_PIECES, CACHE_CHARS = 800_000, 48
 #: White space other than space and newline, as the cutting rule must see it.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -67,6 +68,19 @@ class Encoder:
         self._flat, self._ends = array("I"), array("q", [0])
         self._inner, self._first, self._marks = _Places(self, " "), _Places(self, ""), _Marks(self._model)
 
+    def _shrink(self) -> None:
+        """Keep the half of the pieces that came first: frequent ones come early."""
+        kept = dict(islice(self._inner.items(), CACHE_PIECES // 2))
+        top = max(kept.values(), default=-1) + 1
+        del self._ends[top + 1 :]
+        del self._flat[self._ends[top] :]
+        first = {k: v for k, v in self._first.items() if v < top}
+        self._inner, self._first = _Places(self, " "), _Places(self, "")
+        self._inner.update(kept)
+        self._first.update(first)
+        if len(self._flat) > 8 * CACHE_PIECES:
+            self._clear()
+
     def _add(self, piece: str) -> int:
         """Encode one piece and give its place among the kept ones."""
         lead = piece[:1]
@@ -88,10 +102,16 @@ class Encoder:
         self._ends.append(len(self._flat))
         return len(self._ends) - 2
 
+    def _add_word(self, word: str) -> int:
+        """Encode a space and ASCII letters."""
+        self._flat.extend([t.id for t in self._model.tokenize(self._space + word)])
+        self._ends.append(len(self._flat))
+        return len(self._ends) - 2
+
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts one after another, and n + 1 offsets; ``end`` closes each text."""
         if len(self._inner) + len(self._first) > CACHE_PIECES or len(self._flat) > 16 * CACHE_PIECES:
-            self._clear()
+            self._shrink()
         places: list[int] = []
         counts = []
         stop = None
@@ -128,7 +148,10 @@ class _Places(dict):
         self._owner, self._lead = owner, lead
 
     def __missing__(self, piece: str) -> int:
-        place = self._owner._add(piece if piece[:1] == "\n" else self._lead + piece)
+        if piece.isascii() and piece.isalpha() and self._lead:
+            place = self._owner._add_word(piece)
+        else:
+            place = self._owner._add(piece if piece[:1] == "\n" else self._lead + piece)
         if len(piece) <= CACHE_CHARS:
             self[piece] = place
         return place
