@@ -11,9 +11,10 @@ in a register with a probability that grows with their Jaccard similarity.
    per member, not all pairs.
 3. A candidate is kept if the likelihood of the registers' comparisons (more, fewer, equal), given both exact set
    sizes, has its maximum near or above the threshold; then the full sets are compared.
-4. Components of the links are found. Where one bucket still holds several components, members of different ones
-   are compared in bounded blocks by their differences from the head, which give the size of their intersection
-   exactly; only links come out of a block, not pairs.
+4. Components of the links are found. Where one bucket still holds several components, all of its members' registers
+   are compared in bounded blocks. Members that may pair with one of another component are measured against the head
+   too, however little they share with it, and compared in bounded blocks by their differences from the head, which give
+   the size of their intersection exactly; only members and links come out of a block, not pairs.
 
 Links are exact on 64-bit shingle hashes; the band table misses a pair at exactly the threshold with a
 probability of ``(1 - p ** rows) ** bands``, about 3e-5 by default.
@@ -164,34 +165,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     links = measured.where(enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
     roots = components(links)
 
-    # Buckets that still hold several components. Members measured against the head are compared by their differences from it;
-    # the rest (far from the head) meet only those with whom what they may share with the head leaves room for a link.
+    # Buckets that still hold several components: members that may pair with one of another component are measured against the
+    # head, however far from it they are, and all that are measured are compared by their differences from it.
     held = met.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     held = cut(held)
     split = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     held = held.join(split, "band", "left_semi")
     held = cut(held)
-    # In these buckets members farther from the head are measured too; what is left can share too little with it to matter.
-    wide = 0.5 * SLACK / math.sqrt(ROWS * BANDS)
-    unsure = guessed.where((F.col("estimate") < threshold - slack) & (F.col("estimate") >= threshold - slack - wide))
-    here = held.select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct()
-    measured = measured.union(_measured(docs, classes, unsure.join(here, ["a", "b"], "left_semi"), width))
-    most = F.least(F.col("estimate") + wide, F.lit(1.0))
-    bound = guessed.select(F.col("a").alias("head"), F.col("b").alias("digest"), F.floor(most / (1 + most) * (F.col("na") + F.col("nb"))).alias("bound"))
+    known = measured.select(F.col("a").alias("head"), F.col("b").alias("digest"), F.lit(True).alias("known"))
+    beside = held.where("digest <> head").join(known, ["head", "digest"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    far = _far_members(classes, beside, percent, math.ceil(ROWS * BANDS * (threshold - slack)))
+    measured = measured.union(_measured(docs, classes, far, width))
     exact = measured.select(F.col("a").alias("head"), F.col("b").alias("digest"), "shared", "apart")
-    smaller = F.least(F.col("n"), F.col("head_n"))
-    blind = held.join(bound, ["head", "digest"], "left").join(exact.select("head", "digest", "shared"), ["head", "digest"], "left")
-    known = (F.col("digest") == F.col("head")) | F.col("shared").isNotNull()
-    within = F.when(F.col("digest") == F.col("head"), F.col("n")).otherwise(F.coalesce("shared", F.least("bound", smaller), smaller))
-    blind = cut(blind.select("band", "digest", "n", "root", within.alias("within"), known.alias("known")))
-    x, y = blind.alias("x"), blind.where("not known").alias("y")
-    roomy = enough(F.least("x.within", "y.within"), F.col("x.n"), F.col("y.n"))
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & near(F.col("x.n"), F.col("y.n")) & roomy)
-    across = across.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
-    tried_pairs = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _with_estimates(classes, across.join(tried_pairs, ["a", "b"], "left_anti")).where(F.col("estimate") >= threshold - slack)
-    more = _measured(docs, classes, more, width).where(enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
-    more = more.union(_linked_beside_heads(held, exact, roots, percent))
+    more = _linked_beside_heads(held, exact, roots, percent)
     final = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = classes.select("digest", "first_id").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -222,6 +208,58 @@ def _measured(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     return cut(both.select("a", "b", "na", "nb", (F.col("nb") - F.size("new")).alias("shared"), F.concat("new", "gone").alias("apart")))
 
 
+def _far_members(classes: DataFrame, members: DataFrame, percent: int, least: int) -> DataFrame:
+    """(a, b, na, nb): heads and not yet measured members that agree in ``least`` registers or more with another component's member of the bucket.
+
+    Sets agree in a register with at least the probability of their similarity. All pairs of a bucket meet in tasks of two blocks
+    of at most about ``BLOCK_MEMBERS`` each, and each in the first bucket it shares; only members come out.
+    """
+    counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n_all"), F.min("known").alias("all_known"), F.min("root").alias("low"), F.max("root").alias("high"))
+    counts = counts.where("not all_known and low <> high").select("band", F.ceil(F.col("n_all") / F.lit(BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    members = members.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    members = members.withColumn("task", F.explode(tasks)).join(classes.select("digest", "registers"), "digest")
+    key = F.concat_ws(":", F.col("band").cast("string"), F.col("task.i").cast("string"), F.col("task.j").cast("string"))
+    dealt = members.select(key.cast("binary").alias("key"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "block", "head", "head_n", "digest", "n", "root", "known", "registers")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    return cut(dealt.mapInArrow(_by_key(_far_in_task(percent, least)), "a binary, b binary, na long, nb long").distinct())
+
+
+def _far_in_task(percent: int, least: int):
+    """Function of one task's rows: the members to measure, with their head."""
+
+    def far(rows: pa.Table) -> pa.RecordBatch:
+        n, block = rows["n"].to_numpy(), rows["block"].to_numpy()
+        known = rows["known"].to_numpy(zero_copy_only=False)
+        roots = rows["root"].to_pylist()
+        names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        group = np.array([names[r] for r in roots])
+        regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint8).reshape(len(n), -1)
+        common = (regs == regs[0]).all(axis=0).reshape(-1, ROWS).all(axis=1)
+        own = int(common.argmax()) if common.any() else 0
+        across = rows["i"][0].as_py() != rows["j"][0].as_py()
+        marked = known.copy()
+        for x in np.flatnonzero(~known).tolist():
+            met = (group != group[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent)
+            if across:
+                met &= block != block[x]
+            if marked[x]:
+                met &= ~marked
+            y = np.flatnonzero(met)
+            same = regs[y] == regs[x]
+            near = np.count_nonzero(same, axis=1) >= least
+            y, same = y[near], same[near]
+            first = ~same[:, : own * ROWS].reshape(len(y), own, ROWS).all(axis=2).any(axis=1)
+            if first.any():
+                marked[x] = True
+                marked[y[first]] = True
+        found = rows.filter(pa.array(marked & ~known)).combine_chunks()
+        columns = [found[c].combine_chunks() for c in ("head", "digest", "head_n", "n")]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb"])
+
+    return far
+
+
 def _linked_beside_heads(held: DataFrame, exact: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of a head's buckets that lie in different components.
 
@@ -246,11 +284,11 @@ def _linked_beside_heads(held: DataFrame, exact: DataFrame, roots: DataFrame, pe
     key = F.concat("head", F.lit(":"), F.col("task.i").cast("string"), F.lit(":"), F.col("task.j").cast("string"))
     dealt = members.select(key.cast("binary").alias("key"), "digest", F.col("n").cast("long"), F.col("head_n").cast("long"), F.col("shared").cast("long"), "root", "out", "apart")
     dealt = dealt.repartition("key").sortWithinPartitions("key")
-    return cut(dealt.mapInArrow(_links_by_difference(percent), "a binary, b binary"))
+    return cut(dealt.mapInArrow(_by_key(_links_by_difference(percent)), "a binary, b binary"))
 
 
 def _links_by_difference(percent: int):
-    """mapInArrow function over rows sorted by key: for each member outside, one link to each other component of its task."""
+    """Function of one task's rows: for each member outside, one link to each other component of its task."""
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         digest, root = rows["digest"].to_pylist(), rows["root"].to_pylist()
@@ -278,6 +316,12 @@ def _links_by_difference(percent: int):
                     group[group == group[y]] = group[x]  # linked now: further links between the two would say the same
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
+    return links
+
+
+def _by_key(of_task):
+    """mapInArrow function over rows sorted by key: ``of_task`` of each key's rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -287,10 +331,10 @@ def _links_by_difference(percent: int):
             keys = table["key"].to_pylist()
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                yield links(table.slice(lo, hi - lo))
+                yield of_task(table.slice(lo, hi - lo))
             held = table.slice(cuts[-1]).combine_chunks().to_batches()
         if held:
-            yield links(pa.Table.from_batches(held))
+            yield of_task(pa.Table.from_batches(held))
 
     return run
 

@@ -94,6 +94,34 @@ def test_near_duplicate_chains_and_large_groups(spark):
     assert [got[r[0]] for r in rows] == want
 
 
+def test_near_duplicate_passage_pool(spark):
+    rng = np.random.default_rng(12)
+    pool = [[f"p{i}w{k}" for k in range(10)] for i in range(64)]
+    rows = []
+    for i in range(0, 2400, 2):  # twins of 34 passages each; any two texts share about 18
+        words = [w for p in rng.permutation(64)[:34] for w in pool[p]]
+        rows.append((i, " ".join(words)))
+        if i % 40 == 0:
+            words += [f"t{i}x{k}" for k in range(60)]
+            rows[-1] = (i, " ".join(words))
+        for k in rng.choice(len(words), 15, replace=False):
+            words[k] = f"n{i}x{k}"
+        rows.append((i + 1, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    sets = [set(zip(t.split()[:-1], t.split()[1:], strict=True)) for _, t in rows]
+    column = {s: i for i, s in enumerate(set().union(*sets))}
+    has = np.zeros((len(rows), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [column[x] for x in s]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    least = np.arange(len(rows))
+    while (new := np.where(linked, least[None, :], len(rows)).min(axis=1)).tolist() != least.tolist():
+        least = new
+    assert sum(least != np.arange(len(rows))) >= 1000
+    assert [got[i] for i in range(len(rows))] == least.tolist()
+
+
 def test_scans(odd, empty):
     found = {r.doc_id: r for r in pii.find_pii(odd).collect()}
     assert len(pii.find_pii(odd).collect()) == len(ROWS)
