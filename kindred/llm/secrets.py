@@ -4,9 +4,11 @@ Two second-order models over the token alphabet are trained from labelled sample
 alphanumeric, base64) and ordinary strings (words, identifiers in several styles, numbers, versions, paths). Both samples
 come from a seeded generator. Every run of token characters of ``MIN_RUN`` or more in every text is scored by the sum of
 log P(random) - log P(ordinary) over its characters; it is a secret if the ratio per character exceeds a threshold that
-the ordinary training sample never reaches, and it mixes letters with digits or cases.
+the ordinary training sample never reaches, and it mixes letters with digits or cases. In a run that is none as a whole (a key
+in a path, or after a name), the stretches of ``MIN_RUN`` or more with the greatest sums above the threshold are secrets, each
+widened to the letters and digits it ends in.
 
-Pattern spans always stay; a scored run is added if it overlaps none.
+Pattern spans always stay; what they leave of a run is scored as a run of its own.
 
 Defined results: null and empty texts have no spans; repeated rows have equal results; null ids pass through; an empty
 table gives no rows; columns other than doc_id and text are not used.
@@ -120,11 +122,12 @@ class Ratio:
 
     def scores(self, strings: list[str]) -> np.ndarray:
         """Mean ratio per character of each string."""
-        out = np.empty(len(strings))
-        for i, s in enumerate(strings):
-            c = self._codes(s)
-            out[i] = self.table[c[:-2], c[1:-1], c[2:]].mean()
-        return out
+        return np.array([self.steps(s).mean() for s in strings])
+
+    def steps(self, s: str) -> np.ndarray:
+        """Ratio of each character from the third on."""
+        c = self._codes(s)
+        return self.table[c[:-2], c[1:-1], c[2:]]
 
 
 @functools.lru_cache(maxsize=1)
@@ -140,17 +143,56 @@ def mixed(s: str) -> bool:
     return (digits >= 2 and upper + lower >= 2) or (upper >= 4 and lower >= 4)
 
 
+def stretches(run: str, ratio: Ratio) -> list[tuple[int, int]]:
+    """(start, end) of the secrets in a run of token characters: the whole run, or its best stretches of MIN_RUN or more."""
+    if len(run) < MIN_RUN or not mixed(run):
+        return []
+    steps = ratio.steps(run)
+    if steps.mean() > ratio.threshold:
+        return [(0, len(run))]
+    sums = np.concatenate([[0.0], np.cumsum(steps - ratio.threshold)])
+    found, parts = [], [(0, len(steps))]
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo < MIN_RUN - 2:
+            continue
+        own = sums[lo : hi + 1]
+        gain = own[MIN_RUN - 2 :] - np.minimum.accumulate(own)[: len(own) - MIN_RUN + 2]
+        k = int(gain.argmax())
+        if gain[k] <= 0:
+            continue
+        start, end = lo + int(own[: k + 1].argmin()), lo + k + MIN_RUN - 2
+        parts += [(lo, start), (end, hi)]
+        a, b = (start + 2 if start else 0), end + 2
+        if mixed(run[a:b]):
+            while a and run[a - 1].isalnum():
+                a -= 1
+            while b < len(run) and run[b].isalnum():
+                b += 1
+            found.append((a, b))
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if joined and a <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    return joined
+
+
 def spans_of(text: str | None, ratio: Ratio) -> tuple[list, list]:
     """(pattern spans, all spans) of a text."""
     base = base_spans(text)
     if not text:
         return base, base
-    runs = [(m.start(), m.end()) for m in _RUN.finditer(text) if mixed(m[0])]
-    runs = [(a, b) for a, b in runs if all(b <= s or a >= e for _, s, e in base)]
-    if not runs:
-        return base, base
-    scores = ratio.scores([text[a:b] for a, b in runs])
-    more = [("markov", a, b) for (a, b), s in zip(runs, scores, strict=True) if s > ratio.threshold]
+    more = []
+    for m in _RUN.finditer(text):
+        if not mixed(m[0]):
+            continue
+        at = m.start()
+        for _, s, e in [*base, ("", m.end(), m.end())]:
+            if e > at and s <= m.end():
+                more += [("markov", at + a, at + b) for a, b in stretches(text[at:s], ratio)] if s > at else []
+                at = max(at, e)
     return base, in_order(base + more)
 
 

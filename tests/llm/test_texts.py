@@ -139,6 +139,34 @@ def test_markov_ratio_parts_held_out_samples():
     assert [k for k, _, _ in all_] == ["markov"]
 
 
+def test_keys_inside_longer_runs():
+    ratio, rng = secrets.trained_ratio(), random.Random(5)
+    path = "/projects/internal/documentation/downloads/release/latest/"
+    key = lambda k, letters=secrets.ALPHABET[:62]: "".join(rng.choice(letters) for _ in range(k))
+    around = [("", ""), (path, ""), (path, "/index_page_of_the_service"), ("MY_SERVICE_ACCOUNT_NAME=", ""), (path, path)]
+    for k in (16, 24, 40):
+        for before, after in around:
+            found = 0
+            for _ in range(100):
+                own = key(k)
+                spans = [(a, b) for kind, a, b in secrets.spans_of(f"see {before}{own}{after} now", ratio)[1] if kind == "markov"]
+                found += any(a <= 4 + len(before) and b >= 4 + len(before) + k for a, b in spans)
+            assert found >= (85 if k == 16 else 97), (k, before, after, found)
+    one, two = key(32), key(32)
+    spans = secrets.spans_of(f"{path}{one}{path}{two}{path}", ratio)[1]
+    assert len(spans) == 2  # each with its key, and at most a word beside it
+    for (_, a, b), at in zip(spans, (len(path), 2 * len(path) + 32), strict=True):
+        assert at - 12 <= a <= at and at + 32 <= b <= at + 44
+    hexa = "0123456789abcdef" * 2
+    _, all_ = secrets.spans_of(f"{hexa}/{one}", ratio)
+    assert all_[0] == ("hex", 0, 32) and all_[1][0] == "markov" and all_[1][1] <= 33 and all_[1][2] == 65
+    _, all_ = secrets.spans_of(f"{one}/{hexa}-{two}", ratio)
+    assert [s[0] for s in all_] == ["markov", "hex", "markov"]
+    _, ordinary = secrets.labelled_strings(1500, 778)
+    assert sum(bool(secrets.stretches(s, ratio)) for s in ordinary) <= 15
+    assert secrets.spans_of(f"{path}2024-11-26/version_12/Release_Notes", ratio)[1] == []
+
+
 @pytest.mark.parametrize("text", ["", "a", "word " * 115, "x" * 576, "y" * 577, "é" * 5000])
 def test_media_round_trip(text):
     payload = media.pad_payload(text.encode())
