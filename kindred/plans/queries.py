@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from kindred.config import EXTENSION_LANGUAGE, LshConfig
+from kindred.engine import CloneEngine
 from kindred.functions import scalars as S
 from kindred.functions.hyperplanes import planes, srp_hash_sql
 from kindred.operators import clusters as C, embed as E, index as I, search as Q
 from kindred.operators.components import components
+from kindred.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,6 +112,29 @@ def copy_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return blocks, members, groups.select("cluster_id", "size", F.lit(1.0).alias("avg_similarity"), S.clone_type(F.lit(1.0)).alias("clone_type"))
 
 
+def engine_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, members, clusters) of the engine: TF-IDF vectors, index, all pairs from the summary's similarity, components.
+
+    A pair met in one table is compared and all partners count, since the engine's prefilter leaves few pairs below 0.95.
+    """
+    engine = CloneEngine(spark)
+    blocks = engine.index_blocks(blocks_of(spark, sf_dir))
+    pairs = cut(Q.clone_pairs(engine.index, engine.config.summary_similarity, None, 0.0))
+    members = cut(C.cluster_members(pairs))
+    return blocks, members, C.clusters(pairs, members)
+
+
+def report(name: str, sql: str):
+    """Registers a report over the engine's clusters and, beside its SQL, the same over clusters of equal texts."""
+
+    def register(f):
+        query(name)(lambda spark, d: f(spark, d, engine_clusters))
+        query(f"{name}_exact_copies", sql)(lambda spark, d: f(spark, d, copy_clusters))
+        return f
+
+    return register
+
+
 # --- C: scalar functions ---------------------------------------------------------------------------------------
 
 
@@ -307,15 +332,15 @@ def e09(spark, d):
     return changed_files(files, was).select(F.col("path").cast("long").alias("doc_id"))
 
 
-@query("e10_clusters_for_file", f"WITH {_COPIES} SELECT cluster_id, block_id FROM copies WHERE size > 1 AND cluster_id IN (SELECT cluster_id FROM copies WHERE file_path = 'src3')")
-def e10(spark, d):
-    blocks, members, _ = copy_clusters(spark, d)
+@report("e10_clusters_for_file", f"WITH {_COPIES} SELECT cluster_id, block_id FROM copies WHERE size > 1 AND cluster_id IN (SELECT cluster_id FROM copies WHERE file_path = 'src3')")
+def e10(spark, d, found_by):
+    blocks, members, _ = found_by(spark, d)
     return C.clusters_for_file(members, blocks, "src3")
 
 
-@query("e11_star_pairs", f"WITH {_COPIES} SELECT cluster_id, cluster_id AS representative, block_id FROM copies WHERE size > 1 AND block_id <> cluster_id")
-def e11(spark, d):
-    return C.star_pairs(copy_clusters(spark, d)[1])
+@report("e11_star_pairs", f"WITH {_COPIES} SELECT cluster_id, cluster_id AS representative, block_id FROM copies WHERE size > 1 AND block_id <> cluster_id")
+def e11(spark, d, found_by):
+    return C.star_pairs(found_by(spark, d)[1])
 
 
 @query("e12_plane_quality", f"WITH planes(tbl, bit, n) AS (VALUES {_PLANE_ROWS}) SELECT a.tbl::INT AS tbl, round(avg(abs(list_dot_product(a.n, b.n))), 6) AS mean_corr, round(max(abs(list_dot_product(a.n, b.n))), 6) AS max_corr FROM planes a JOIN planes b ON a.tbl = b.tbl AND a.bit < b.bit GROUP BY a.tbl")
@@ -370,26 +395,26 @@ def f12(spark, d):
     return _analysed(spark, d)
 
 
-@query("f13_scan_summary", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1) SELECT (SELECT count(DISTINCT source) FROM documents)::BIGINT AS files, (SELECT count(*) FROM documents)::BIGINT AS blocks, (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents)) AS languages, sum(size - 1)::BIGINT AS clone_pairs, count(*)::BIGINT AS clusters, sum(size)::BIGINT AS cloned_blocks FROM c")
-def f13(spark, d):
-    blocks, _, found = copy_clusters(spark, d)
+@report("f13_scan_summary", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1) SELECT (SELECT count(DISTINCT source) FROM documents)::BIGINT AS files, (SELECT count(*) FROM documents)::BIGINT AS blocks, (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents)) AS languages, sum(size - 1)::BIGINT AS clone_pairs, count(*)::BIGINT AS clusters, sum(size)::BIGINT AS cloned_blocks FROM c")
+def f13(spark, d, found_by):
+    blocks, _, found = found_by(spark, d)
     return C.scan_summary(blocks, found).withColumn("languages", F.array_join("languages", ","))
 
 
-@query("f13_by_type", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1) SELECT 'type-1' AS clone_type, sum(size)::BIGINT AS blocks, count(*)::BIGINT AS clusters FROM c")
-def f13_types(spark, d):
-    return C.by_type(copy_clusters(spark, d)[2])
+@report("f13_by_type", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1) SELECT 'type-1' AS clone_type, sum(size)::BIGINT AS blocks, count(*)::BIGINT AS clusters FROM c")
+def f13_types(spark, d, found_by):
+    return C.by_type(found_by(spark, d)[2])
 
 
-@query("f14_clones_by_file", f"WITH {_COPIES} SELECT file_path, count(*)::BIGINT AS clones FROM copies WHERE size > 1 GROUP BY file_path")
-def f14(spark, d):
-    blocks, members, _ = copy_clusters(spark, d)
+@report("f14_clones_by_file", f"WITH {_COPIES} SELECT file_path, count(*)::BIGINT AS clones FROM copies WHERE size > 1 GROUP BY file_path")
+def f14(spark, d, found_by):
+    blocks, members, _ = found_by(spark, d)
     return C.clones_by_file(members, blocks)
 
 
-@query("f15_clones_at", f"WITH {_COPIES} SELECT file_path, language, count(*)::BIGINT AS clones FROM copies WHERE size > 1 GROUP BY file_path, language")
-def f15(spark, d):
-    blocks, members, _ = copy_clusters(spark, d)
+@report("f15_clones_at", f"WITH {_COPIES} SELECT file_path, language, count(*)::BIGINT AS clones FROM copies WHERE size > 1 GROUP BY file_path, language")
+def f15(spark, d, found_by):
+    blocks, members, _ = found_by(spark, d)
     return members.join(blocks, "block_id").groupBy("file_path", "language").agg(F.count(F.lit(1)).alias("clones"))
 
 
@@ -398,9 +423,9 @@ def f16(spark, d):
     return all_pairs(spark, d, 0.4).agg(F.count(F.lit(1)).alias("total"), F.count_distinct("source_id").alias("sources"), F.round(F.coalesce(F.avg("similarity"), F.lit(0.0)), 6).alias("avg_similarity"))
 
 
-@query("f18_ci_gate", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1), s AS (SELECT sum(size - 1)::BIGINT AS clone_pairs, (SELECT count(*) FROM documents)::BIGINT AS blocks FROM c) SELECT clone_pairs, blocks, round(clone_pairs / greatest(blocks, 1)::DOUBLE * 100, 6) AS percent, clone_pairs <= 50 AND clone_pairs / greatest(blocks, 1)::DOUBLE * 100 <= 10 AS passed FROM s")
-def f18(spark, d):
-    blocks, _, found = copy_clusters(spark, d)
+@report("f18_ci_gate", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1), s AS (SELECT sum(size - 1)::BIGINT AS clone_pairs, (SELECT count(*) FROM documents)::BIGINT AS blocks FROM c) SELECT clone_pairs, blocks, round(clone_pairs / greatest(blocks, 1)::DOUBLE * 100, 6) AS percent, clone_pairs <= 50 AND clone_pairs / greatest(blocks, 1)::DOUBLE * 100 <= 10 AS passed FROM s")
+def f18(spark, d, found_by):
+    blocks, _, found = found_by(spark, d)
     return C.ci_gate(C.scan_summary(blocks, found), 50, 10.0).withColumn("percent", F.round("percent", 6))
 
 
@@ -552,9 +577,9 @@ def c38(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(words).alias("words"), F.size(S.chunk(words, 7)).alias("chunks"))
 
 
-@query("d15_report_filter", f"WITH {_COPIES} SELECT cluster_id, block_id FROM copies WHERE size > 1 AND contains(lower(file_path), 'c1') AND language = 'en'")
-def d15(spark, d):
-    blocks, members, _ = copy_clusters(spark, d)
+@report("d15_report_filter", f"WITH {_COPIES} SELECT cluster_id, block_id FROM copies WHERE size > 1 AND contains(lower(file_path), 'c1') AND language = 'en'")
+def d15(spark, d, found_by):
+    blocks, members, _ = found_by(spark, d)
     wanted = blocks.where(F.contains(F.lower("file_path"), F.lit("c1")) & (F.col("language") == "en")).select("block_id")
     return members.join(wanted, "block_id", "left_semi").select("cluster_id", "block_id")
 
@@ -570,9 +595,9 @@ def e13(spark, d):
     return index_of(spark, d).tables_of(11).withColumn("tbl", F.col("tbl").cast("int"))
 
 
-@query("f17_clone_ratio", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1) SELECT round(sum(size - 1) / greatest((SELECT count(*) FROM documents), 1)::DOUBLE * 100, 6) AS percent FROM c")
-def f17(spark, d):
-    blocks, _, found = copy_clusters(spark, d)
+@report("f17_clone_ratio", f"WITH {_COPIES}, c AS (SELECT DISTINCT cluster_id, size FROM copies WHERE size > 1) SELECT round(sum(size - 1) / greatest((SELECT count(*) FROM documents), 1)::DOUBLE * 100, 6) AS percent FROM c")
+def f17(spark, d, found_by):
+    blocks, _, found = found_by(spark, d)
     summary = C.scan_summary(blocks, found)
     return summary.select(F.round(F.col("clone_pairs") / F.greatest("blocks", F.lit(1)) * 100, 6).alias("percent"))
 
