@@ -6,7 +6,7 @@ next stage's documents. All but the last return the columns of documents; ids re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kindred.llm import language, mixing, neardup, packing, pii
 from kindred.session import cut, delete_path, scratch_path
@@ -17,13 +17,24 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return language.keep_known(docs)
 
 
+def row_key() -> Column:
+    """Binary that tells rows of documents apart by id and text, and orders them by id (null last), then by the text's SHA-256."""
+    id_ = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    text = F.coalesce(F.sha2(F.encode("text", "UTF-8"), 256), F.lit("0" * 64))
+    return F.unhex(F.concat(F.when(F.col("doc_id").isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), id_)), text))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more); repeated rows of an id become one."""
-    kept = neardup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__kindred_kept_id")).agg(F.count(F.lit(1)).alias("n"))
-    kept = cut(kept)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the first by id, then text.
+
+    Rows equal in id and text become one; different texts under one id, or under none, are documents of their own.
+    """
+    keyed = docs.withColumn("__kindred_key", row_key())
+    near = neardup.near_duplicates(keyed.select(F.col("__kindred_key").alias("doc_id"), "text"))
+    kept = cut(near.where("kept").groupBy(F.col("doc_id").alias("__kindred_key")).agg(F.count(F.lit(1)).alias("n")))
     repeated = kept.where("n > 1").limit(1).count() > 0
-    out = docs.join(kept.select("__kindred_kept_id"), F.col("doc_id").eqNullSafe(F.col("__kindred_kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    out = keyed.join(kept.select("__kindred_key"), "__kindred_key", "left_semi")
+    return (out.dropDuplicates(["__kindred_key"]) if repeated else out).select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     ship(docs.sparkSession)
     percent = round(threshold * 100)
     slack = SLACK * math.sqrt(threshold * (1 - threshold) / (ROWS * BANDS))
-    rows = cut(docs.select("doc_id", "text").mapInArrow(sketch_rows(width), "doc_id long, n_shingles long, digest binary, registers binary"))
+    typed = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(docs.select("doc_id", "text").mapInArrow(sketch_rows(width), f"doc_id {typed}, n_shingles long, digest binary, registers binary"))
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = cut(classes)
 

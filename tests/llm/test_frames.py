@@ -288,3 +288,21 @@ def test_pipeline(spark):
             assert 0 < docs.count() <= seen, name
     ids = [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").collect()]
     assert set(ids) == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_keeps_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdefgh"]
+    near = texts[4].replace("e7 ", "other ")
+    rows = [
+        (None, texts[0]), (None, texts[1]), (None, texts[1]), (None, None), (None, ""),  # one row goes: equal texts
+        (5, texts[2]), (5, texts[3]), (5, texts[3]), (-2, texts[5]),  # one row goes: equal id and text
+        (9, texts[4]), (7, near), (7, texts[6]),  # 9 is near 7
+        (None, texts[5]), (3, texts[7]), (4, texts[2]), (None, near),  # 4 comes before 5; null ids come last
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(None, texts[0]), (None, texts[1]), (None, None), (None, ""), (4, texts[2]), (5, texts[3]), (-2, texts[5]), (7, near), (7, texts[6]), (3, texts[7])]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
