@@ -79,7 +79,7 @@ class CloneEngine:
 
     def clusters(self, min_similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
         """(clusters, members)."""
-        pairs = cut(self.clone_pairs(min_similarity))
+        pairs = cut(self.clone_pairs(min_similarity, None))
         members = C.cluster_members(pairs)
         return C.clusters(pairs, members), members
 

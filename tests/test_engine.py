@@ -206,3 +206,15 @@ def test_optional_parts_are_optional(monkeypatch):
 
     left = set(again.queries())
     assert left and not any(n.startswith("op") or n == "pipeline" for n in left)
+
+
+def test_clusters_take_all_partners(spark):
+    shared = [f"name{i}" for i in range(40)]
+    one, two = (" ".join([*shared, *(f"{c}{i}" for i in range(6))]) for c in ("left", "right"))
+    rows = [(f"{c}{i:02d}", text, "typescript", "f") for c, text in (("a", one), ("b", two)) for i in range(60)]
+    e = CloneEngine(spark, EngineConfig().merged({"lsh": {"dimension": 64, "bits": 2}}))
+    e.index_blocks(spark.createDataFrame(rows, "block_id string, content string, language string, file_path string"))
+    between = e.clone_pairs(0.5, None).where("left(source_id, 1) <> left(target_id, 1)").agg(F.min("similarity")).first()[0]
+    assert 0.5 < between < 0.99
+    clusters, _ = e.clusters(0.5)
+    assert [(r.cluster_id, r.size) for r in clusters.collect()] == [("a00", 120)]
