@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kindred.session import cut
+from kindred.session import cut, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,8 +35,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        wide = _star(both, True)
+        wide, last = _star(both, True), now
         now = cut(_star(wide, False))
+        release(last)
         was, mark = mark, _mark(now)
         if was == mark:
             break
