@@ -35,13 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm import words
+from kindred.llm.worker import by_key, give_back
 from kindred.operators.components import components
-from kindred.session import cut, ship
+from kindred.session import cut, release, ship
 
 #: Registers per band and bands; base and rate of the exponential scale.
 ROWS, BANDS, BASE, RATE = 5, 24, 1.1, 20.0
 #: Members of a block where the members of a large bucket are compared.
 BLOCK_MEMBERS = 2000
+#: Parts over which the rows that share a bucket's head are dealt in joins on it.
+SALTS = 32
+#: Bits of the filter that spares documents without a wanted id the shuffle of their texts: 4 MiB, whatever the input's size.
+FILTER_BITS = 1 << 25
 #: Standard deviations that the estimate may lie below the threshold.
 SLACK = 4.5
 
@@ -96,6 +101,7 @@ def sketch_rows(width: int):
                 digest.append(set_digest(s) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
+        give_back()
 
     return run
 
@@ -116,6 +122,7 @@ def set_rows(width: int):
                     yield _set_batch(known, sets)
                     known, sets, size = [], [], 0
             yield _set_batch(known, sets)
+        give_back()
 
     return run
 
@@ -152,11 +159,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, ROWS)))
     banded = classes.select("digest", "n", F.explode(bands).alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = cut(banded.join(sizes, "band"))
-    weight = met.groupBy("digest").agg(F.sum("size").alias("weight"))
-    met = met.join(weight, "digest")
-    heads = met.groupBy("band").agg(F.max_by(F.struct("digest", "n"), F.struct("weight", "digest")).alias("head"))
-    met = cut(met.join(heads, "band").select("band", "digest", "n", F.col("head.digest").alias("head"), F.col("head.n").alias("head_n")))
+    shared = cut(banded.join(sizes, "band"))
+    weight = shared.groupBy("digest").agg(F.sum("size").alias("weight"))
+    weighed = shared.join(weight, "digest")
+    heads = weighed.groupBy("band").agg(F.max_by(F.struct("digest", "n"), F.struct("weight", "digest")).alias("head"))
+    met = cut(shared.join(heads, "band").select("band", "digest", "n", F.col("head.digest").alias("head"), F.col("head.n").alias("head_n")))
+    release(shared)
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     enough = lambda shared, x, y: shared * (100 + percent) >= (x + y) * percent
@@ -165,21 +173,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     measured = _measured(docs, classes, guessed.where(F.col("estimate") >= threshold - slack), width)
     links = measured.where(enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
     roots = components(links)
+    release(guessed)
 
     # Buckets that still hold several components: members that may pair with one of another component are measured against the
     # head, however far from it they are, and all that are measured are compared by their differences from it.
-    held = met.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    held = cut(held)
-    split = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    held = held.join(split, "band", "left_semi")
-    held = cut(held)
+    rooted = cut(met.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    held = cut(rooted.join(split, "band", "left_semi"))
+    release(met, rooted)
     known = measured.select(F.col("a").alias("head"), F.col("b").alias("digest"), F.lit(True).alias("known"))
     beside = held.where("digest <> head").join(known, ["head", "digest"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     far = _far_members(classes, beside, percent, math.ceil(ROWS * BANDS * (threshold - slack)))
-    measured = measured.union(_measured(docs, classes, far, width))
-    exact = measured.select(F.col("a").alias("head"), F.col("b").alias("digest"), "shared", "apart")
+    added = _measured(docs, classes, far, width)
+    exact = measured.union(added).select(F.col("a").alias("head"), F.col("b").alias("digest"), "shared", "apart")
     more = _linked_beside_heads(held, exact, roots, percent)
+    release(held, far, measured, added)
     final = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    release(more)
 
     named = classes.select("digest", "first_id").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -200,13 +210,36 @@ def _with_estimates(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _measured(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """(a, b, na, nb, shared, apart) of pairs of classes from their full sets: the number in common, and the shingles that only one has."""
     needed = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-    wanted = needed.join(classes.select("digest", "first_id"), "digest")
-    texts = wanted.join(docs.select("doc_id", "text"), F.col("first_id").eqNullSafe(F.col("doc_id"))).select("digest", "text")
+    wanted = cut(needed.join(classes.select("digest", "first_id"), "digest"))
+    likely = _with_likely_ids(docs.select("doc_id", "text"), wanted)
+    texts = wanted.join(likely, F.col("first_id").eqNullSafe(F.col("doc_id"))).select("digest", "text")
     sets = cut(texts.mapInArrow(set_rows(width), "digest binary, shingles array<bigint>").dropDuplicates(["digest"]))
     both = pairs.select("a", "b", "na", "nb").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.select("a", "b", "na", "nb", F.array_except("sb", "sa").alias("new"), F.array_except("sa", "sb").alias("gone"))
-    return cut(both.select("a", "b", "na", "nb", (F.col("nb") - F.size("new")).alias("shared"), F.concat("new", "gone").alias("apart")))
+    out = cut(both.select("a", "b", "na", "nb", (F.col("nb") - F.size("new")).alias("shared"), F.concat("new", "gone").alias("apart")))
+    release(wanted, sets)
+    return out
+
+
+def _with_likely_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be a first_id of ``wanted``: all that are, and others by a chance that grows with ``wanted``.
+
+    The filter is a bitmap of fixed size, so it may be broadcast.
+    """
+    place = lambda id_: F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
+    maps = wanted.select(place("first_id").alias("at"))
+    maps = maps.groupBy(F.bitmap_bucket_number("at").alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    rows = docs.withColumn("__at", place("doc_id")).withColumn("__map", F.bitmap_bucket_number("__at")).withColumn("__bit", F.bitmap_bit_position("__at"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0
+    return rows.join(F.broadcast(maps), "__map").where(set_).select(docs.columns)
+
+
+def _by_head(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (head, digest, ...) joined with one row of ``side`` a head, a head's rows dealt over ``SALTS`` parts by digest."""
+    side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(side, ["head", "salt"], how).drop("salt")
 
 
 def _far_members(classes: DataFrame, members: DataFrame, percent: int, least: int) -> DataFrame:
@@ -223,7 +256,7 @@ def _far_members(classes: DataFrame, members: DataFrame, percent: int, least: in
     key = F.concat_ws(":", F.col("band").cast("string"), F.col("task.i").cast("string"), F.col("task.j").cast("string"))
     dealt = members.select(key.cast("binary").alias("key"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "block", "head", "head_n", "digest", "n", "root", "known", "registers")
     dealt = dealt.repartition("key").sortWithinPartitions("key")
-    return cut(dealt.mapInArrow(_by_key(_far_in_task(percent, least)), "a binary, b binary, na long, nb long").distinct())
+    return cut(dealt.mapInArrow(by_key(_far_in_task(percent, least)), "a binary, b binary, na long, nb long").distinct())
 
 
 def _far_in_task(percent: int, least: int):
@@ -268,12 +301,13 @@ def _linked_beside_heads(held: DataFrame, exact: DataFrame, roots: DataFrame, pe
     + |d(x) & d(y)| exactly, so the short difference lists stand for the sets. Members outside of the head's
     component meet all others in tasks of two blocks of at most about ``BLOCK_MEMBERS`` each; only links come out.
     """
-    head_root = roots.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
-    members = held.where("digest <> head").select("head", "head_n", "digest", "n", "root").distinct().join(exact, ["head", "digest"]).join(head_root, "head", "left")
+    head_root = held.select("head").distinct().join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left")
+    members = held.where("digest <> head").select("head", "head_n", "digest", "n", "root").distinct().join(exact, ["head", "digest"])
+    members = _by_head(members, head_root)
     members = members.withColumn("out", F.col("root") != F.coalesce("head_root", "head"))
     counts = members.groupBy("head").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0 and n_all > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK_MEMBERS)).cast("int")
-    members = members.join(counts, "head").withColumn("outs", blocks(F.col("n_out"))).withColumn("ins", blocks(F.col("n_all") - F.col("n_out")))
+    members = _by_head(members, counts).withColumn("outs", blocks(F.col("n_out"))).withColumn("ins", blocks(F.col("n_all") - F.col("n_out")))
     members = members.withColumn("block", F.pmod(F.xxhash64("digest"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     task = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -285,7 +319,7 @@ def _linked_beside_heads(held: DataFrame, exact: DataFrame, roots: DataFrame, pe
     key = F.concat("head", F.lit(":"), F.col("task.i").cast("string"), F.lit(":"), F.col("task.j").cast("string"))
     dealt = members.select(key.cast("binary").alias("key"), "digest", F.col("n").cast("long"), F.col("head_n").cast("long"), F.col("shared").cast("long"), "root", "out", "apart")
     dealt = dealt.repartition("key").sortWithinPartitions("key")
-    return cut(dealt.mapInArrow(_by_key(_links_by_difference(percent)), "a binary, b binary"))
+    return cut(dealt.mapInArrow(by_key(_links_by_difference(percent)), "a binary, b binary"))
 
 
 def _links_by_difference(percent: int):
@@ -320,25 +354,5 @@ def _links_by_difference(percent: int):
     return links
 
 
-def _by_key(of_task):
-    """mapInArrow function over rows sorted by key: ``of_task`` of each key's rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([*held, batch])
-            keys = table["key"].to_pylist()
-            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                yield of_task(table.slice(lo, hi - lo))
-            held = table.slice(cuts[-1]).combine_chunks().to_batches()
-        if held:
-            yield of_task(pa.Table.from_batches(held))
-
-    return run
-
-
 def op1_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
