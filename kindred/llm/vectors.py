@@ -3,8 +3,10 @@
 Vectors are compared only within their label. Equal vectors collapse to one class first. The forest is fitted on a bounded
 sample (``sample_rows`` classes): each tree splits its sample at random directions near the median until a node holds at
 most ``leaf_rows``. All classes are then routed down every tree; one that lies within the spill margin of a split goes
-to both sides, so that a pair at the threshold is parted only if its projections differ by much more than such a pair's
-do. Classes that share a leaf are compared in double precision; a pair is told by the first leaf that both lie in, so the union over trees needs no shuffle.
+to both sides, so that a pair near the threshold is parted in a tree only where the split falls between the two, and many trees
+seldom part it all at once. Classes that share a leaf are compared in double precision; a pair is told by the first leaf that
+both lie in. A leaf's task gives out how many vectors each of its classes links to, and as many links as span its components,
+so what it writes grows with its rows, not with its pairs.
 
 The number of leaves is bounded by the sample, so their row counts can be broadcast; a leaf that holds more than
 ``block_rows`` rows is dealt into blocks, and each pair of blocks is one task of bounded size. No pair is skipped.
@@ -21,16 +23,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kindred.llm.worker import by_key, give_back
 from kindred.operators.components import components
-from kindred.session import cut, ship
+from kindred.session import cut, release, ship
 
-TREES, LEAF_ROWS, SAMPLE_ROWS, BLOCK_ROWS = 4, 128, 50_000, 8_000
+TREES, LEAF_ROWS, SAMPLE_ROWS, BLOCK_ROWS = 10, 256, 200_000, 8_000
+#: Most bytes of the sample.
+SAMPLE_BYTES = 128 << 20
 #: Spill margin in standard deviations of the projected difference of a pair at the threshold.
-SPILL = 1.5
+SPILL = 0.25
 
 
 @dataclass
@@ -120,70 +124,118 @@ class Forest:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
+def _rows_of(column: pa.ListArray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, rows) of the vectors of each length in a list column."""
+    lengths = column.value_lengths().to_numpy()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    out = []
+    for n in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == n)
+        out.append((n, own, flat[starts[own][:, None] + np.arange(n)]))
+    return out
+
+
 def _route(forest: Forest):
-    """mapInArrow function: (node, label, embedding) to (leaf, node, label, vector) for every leaf of the row."""
+    """mapInArrow function: (node, label, copies, embedding) to (leaf, node, label, copies, vector, leaves) for every leaf of the row.
+
+    ``vector`` holds the components as they are, ``leaves`` the numbers of all the row's leaves in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, labels = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-            lists = batch.column(2).to_pylist()
-            by: dict[tuple, list[int]] = {}
-            for i, (label, v) in enumerate(zip(labels, lists, strict=True)):
-                by.setdefault((label, len(v)), []).append(i)
-            for key, own in by.items():
-                raw = np.array([lists[i] for i in own], np.float64)
-                rows, leaves = forest.leaves_of(key, unit_rows(raw))
-                order = np.lexsort((leaves, rows))
-                rows, leaves = rows[order], leaves[order]
-                ends = np.searchsorted(rows, np.arange(len(raw) + 1))
-                own_leaves = [leaves[a:b].astype("<i8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                for at in range(0, len(rows), 4096):
-                    r, leaf = rows[at : at + 4096], leaves[at : at + 4096]
-                    vectors, lists_ = pa.array([raw[i].tobytes() for i in r], pa.binary()), pa.array([own_leaves[i] for i in r], pa.binary())
-                    names = pa.array(nodes[np.array(own)[r]].tolist(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf), names, pa.array([key[0]] * len(r), batch.schema.field(1).type), vectors, lists_], ["leaf", "node", "label", "vector", "leaves"])
+            labels = np.array(batch.column(1).to_pylist(), object)
+            for length, places, raw in _rows_of(batch.column(3)):
+                for label in dict.fromkeys(labels[places].tolist()):
+                    mine = labels[places] == label
+                    own, x = places[mine], raw[mine]
+                    rows, leaves = forest.leaves_of((label, length), unit_rows(x))
+                    order = np.lexsort((leaves, rows))
+                    rows, leaves = rows[order], leaves[order].astype("<i8")
+                    ends = np.searchsorted(rows, np.arange(len(x) + 1))
+                    lists = [leaves[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    bytes_ = [v.tobytes() for v in x]
+                    for at in range(0, len(rows), 4096):
+                        r = rows[at : at + 4096]
+                        kept = pa.array(own[r])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(leaves[at : at + 4096]), batch.column(0).take(kept), batch.column(1).take(kept), batch.column(2).take(kept), pa.array([bytes_[i] for i in r], pa.binary()), pa.array([lists[i] for i in r], pa.binary())],
+                            ["leaf", "node", "label", "copies", "vector", "leaves"],
+                        )
+        give_back()
 
     return run
 
 
-def _padded(lists: pd.Series) -> np.ndarray:
-    """Leaf lists as rows, filled up with the largest number."""
+def _earlier(lists: list[bytes], leaf: int) -> np.ndarray:
+    """(rows, leaves) membership of rows in the leaves before ``leaf`` that more than one of them lies in, as 0 and 1."""
     flat = [np.frombuffer(v, "<i8") for v in lists]
-    out = np.full((len(flat), max(map(len, flat))), np.iinfo(np.int64).max)
-    for i, v in enumerate(flat):
-        out[i, : len(v)] = v
+    row = np.repeat(np.arange(len(flat)), [len(v) for v in flat])
+    all_ = np.concatenate(flat)
+    row, all_ = row[all_ < leaf], all_[all_ < leaf]
+    _, column, count = np.unique(all_, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(count > 1)
+    out = np.zeros((len(flat), len(again)), np.float32)
+    place = np.full(len(count), -1)
+    place[again] = np.arange(len(again))
+    met = place[column] >= 0
+    out[row[met], place[column[met]]] = 1.0
     return out
 
 
-def _compare(threshold: float):
-    """Links (a, b) between the rows of two blocks of a leaf, or within one; of all the leaves that two rows share, the first tells."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        same = bool(rows["i"].iat[0] == rows["j"].iat[0])
-        for _, own in rows.groupby(["label", rows["vector"].str.len()], sort=False):
-            x = unit_rows(np.frombuffer(b"".join(own["vector"]), np.float64).reshape(len(own), -1))
-            nodes, block = own["node"].to_numpy(), own["block"].to_numpy()
-            left = np.arange(len(x)) if same else np.flatnonzero(block == rows["i"].iat[0])
-            right = left if same else np.flatnonzero(block != rows["i"].iat[0])
-            leaves = _padded(own["leaves"])
-            leaf = int(rows["leaf"].iat[0])
-            for at in range(0, len(left), 1024):
-                some = left[at : at + 1024]
-                p, q = np.nonzero(x[some] @ x[right].T >= threshold - 1e-9)
-                p, q = some[p], right[q]
-                if same:
-                    once = nodes[p] < nodes[q]
-                    p, q = p[once], q[once]
-                for lo in range(0, len(p), 1 << 14):
-                    a, b = p[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
-                    ok = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-                    a, b = a[ok], b[ok]
-                    met = (leaves[a][:, :, None] == leaves[b][:, None, :]) & (leaves[a] < leaf)[:, :, None]
-                    new = ~met.any(axis=(1, 2))
-                    a, b = nodes[a[new]], nodes[b[new]]
-                    found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype=object)
+def _compare(threshold: float, kind: str):
+    """Function of the rows of two blocks of a leaf, or of one: (node, other, n), the vectors that each row links to (``other`` null)
+    and links that span the components (``n`` null). Of all the leaves that two rows share, the first tells."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        i, j, leaf = (rows[c][0].as_py() for c in ("i", "j", "leaf"))
+        labels, vectors, lists = (rows[c].to_pylist() for c in ("label", "vector", "leaves"))
+        nodes, block = np.array(rows["node"].to_pylist(), object), rows["block"].to_numpy()
+        copies = rows["copies"].to_numpy().astype(np.float64)
+        by: dict[tuple, list[int]] = {}
+        for k, (label, v) in enumerate(zip(labels, vectors, strict=True)):
+            by.setdefault((label, len(v)), []).append(k)
+        names, others, counts = [], [], []
+        for own_ in by.values():
+            own = np.array(own_)
+            x = unit_rows(np.frombuffer(b"".join(vectors[k] for k in own_), kind).reshape(len(own), -1))
+            left = np.flatnonzero(block[own] == i)
+            right = left if i == j else np.flatnonzero(block[own] == j)
+            n, met = np.zeros(len(own)), None
+            group = np.arange(len(own))
+            for at in range(0, len(left), 512):
+                some = left[at : at + 512]
+                near = x[some] @ x[right].T
+                close = near >= threshold - 1e-9
+                if i == j:
+                    close[np.arange(len(some)), np.arange(at, at + len(some))] = False
+                p, q = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+                if not len(p):
+                    continue
+                if met is None:
+                    met = _earlier([lists[k] for k in own_], leaf)
+                a, b = some[p], right[q]
+                linked = close[np.ix_(p, q)]
+                edge = np.argwhere(linked & (near[np.ix_(p, q)] < threshold + 1e-9))
+                for lo in range(0, len(edge), 1 << 14):  # as near to the threshold as rounding reaches: once more, one by one
+                    e = edge[lo : lo + (1 << 14)]
+                    linked[e[:, 0], e[:, 1]] = np.einsum("ij,ij->i", x[a[e[:, 0]]], x[b[e[:, 1]]]) >= threshold
+                linked &= met[a] @ met[b].T == 0
+                n[a] += linked @ copies[own[b]]
+                if i != j:
+                    n[b] += copies[own[a]] @ linked
+                for k in np.flatnonzero(linked.any(axis=1)).tolist():
+                    y = b[linked[k]]
+                    for g in np.setdiff1d(group[y], group[a[k]]).tolist():
+                        names.append(nodes[own[a[k]]])
+                        others.append(nodes[own[y[group[y] == g][0]]])
+                        counts.append(None)
+                        group[group == g] = group[a[k]]
+            told = np.flatnonzero(n)
+            names += nodes[own[told]].tolist()
+            others += [None] * len(told)
+            counts += n[told].astype(np.int64).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(others, pa.string()), pa.array(counts, pa.int64())], ["node", "other", "n"])
 
     return run
 
@@ -199,27 +251,35 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, trees: i
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
 
     shape = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("length")).first()
-    most = max(1, min(sample_rows, (256 << 20) // (8 * max(shape["length"] or 1, 1))))
+    most = max(1, min(sample_rows, SAMPLE_BYTES // (8 * max(shape["length"] or 1, 1))))
     chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample: dict[tuple, list] = {}
-    for r in classes.where(chance < min(1.0, most / max(shape["n"], 1))).select("label", "embedding").toLocalIterator():
-        sample.setdefault((r["label"], len(r["embedding"])), []).append(r["embedding"])
-    forest = Forest({k: np.array(x, np.float64) for k, x in sample.items()}, threshold, trees, leaf_rows)
-    del sample
+    sample = classes.where(chance < min(1.0, most / max(shape["n"], 1))).select("node", "label", "embedding").toArrow().sort_by("node").combine_chunks()
+    of_group: dict[tuple, np.ndarray] = {}
+    labels = np.array(sample["label"].to_pylist(), object)
+    for length, places, raw in _rows_of(sample["embedding"].combine_chunks()) if len(sample) else []:
+        for label in dict.fromkeys(labels[places].tolist()):
+            of_group[label, length] = raw[labels[places] == label]
+    forest = Forest(of_group, threshold, trees, leaf_rows)
+    del sample, of_group
 
     typed = vectors.schema["label"].dataType.simpleString()
-    routed = cut(classes.select("node", "label", "embedding").mapInArrow(_route(forest), f"leaf long, node string, label {typed}, vector binary, leaves binary"))
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    shaped = classes.select("node", "label", "copies", "embedding" if single else F.col("embedding").cast("array<double>"))
+    routed = cut(shaped.mapInArrow(_route(forest), f"leaf long, node string, label {typed}, copies long, vector binary, leaves binary"))
     blocks = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # at most as many rows as the forest has leaves, and 65,536
     dealt = routed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "vector", "leaves")
-    links = cut(dealt.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "a string, b string"))
-
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(classes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    roots = components(links)
-    named = classes.select("node", "first_id", "copies").join(roots, "node", "left").join(degree.withColumnRenamed("a", "node"), "node", "left")
-    named = named.select("node", "first_id", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    dealt = dealt.select(F.concat_ws(":", "leaf", i, j).cast("binary").alias("key"), "leaf", i.alias("i"), j.alias("j"), "block", "node", "label", "copies", "vector", "leaves")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    told = cut(dealt.mapInArrow(by_key(_compare(threshold, "<f4" if single else "<f8")), "node string, other string, n long"))
+    release(routed)
+
+    degree = told.where("n is not null").groupBy("node").agg(F.sum("n").alias("others"))
+    roots = components(told.where("other is not null"), "node", "other")
+    named = classes.select("node", "first_id", "copies").join(roots, "node", "left").join(degree, "node", "left")
+    named = cut(named.select("node", "first_id", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    release(told, classes)
     ids = named.groupBy("root").agg(F.min("first_id").alias("component"))
     named = named.join(ids, "root").select("node", "n_links", "component")
     out = rows.select("vec_id", "node").join(named, "node", "left")
