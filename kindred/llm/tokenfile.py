@@ -1,20 +1,23 @@
 """Token ids as binary files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Ids are coded by a mixture of three predictions. Order 2 and order 1 name the id that last followed the same two ids or
-the same one id (by hashed tables in the block); order 0 gives every id a share by an adaptive distribution of its bit length. The
-weights of orders 2 and 1 are their running hit rates, kept apart by whether the table's entry was right the last time;
-what they leave goes to order 0. The mixture's cumulative range drives a carryless 64-bit range coder with 16-bit words.
+Ids are coded by a mixture of three adaptive predictions. Order 2 expects the id that followed the same two ids before (a hashed
+table), order 1 the one that followed the same id, each with a confidence that grows with hits and falls with misses;
+order 0 gives every id a share by its frequency so far among the ids that the other two missed. The weights of the mixture are
+running counts of which order was right, kept apart by both confidences and by whether the two expect the same id. The mixture's
+cumulative range drives a carryless 64-bit range coder with 16-bit words.
 
-Blocks of ``BLOCK`` ids begin with empty tables and even weights, so each can be decoded alone; a checksum of its ids
-stands beside it. Blocks are also what numpy runs side by side: the step for one id is taken for all blocks at once.
+Blocks of at most ``BLOCK`` ids begin with a new model, so each can be decoded alone, and have a CRC-32 of their ids. A block is cut
+into up to ``LANES`` runs of ids, each with words of its own; numpy takes a step for one id of every run at once,
+and the model learns from all runs.
 
 File format: a file is a run of segments. A segment has a header (magic, counts), the doc_ids and id counts of its documents
-in order, each block's word count and the CRC-32 of its ids, the blocks' words, a CRC-32 of all before, and the end mark. A
+in order, its blocks (ids, runs, words, CRC-32; the words of each run; the words), a CRC-32 of all before, and the end mark. A
 document lies in one segment. Files are written by Spark's committed text writer with the end mark as record separator, into any file
 system that Spark can write, and read back by its binary source.
 
-Defined results: a null or empty text is the end token alone; a null id is stored as such; repeated rows are stored each; an empty
-table gives no rows; columns other than doc_id and text are not used. Ids must be below 65,536.
+Defined results: a null or empty text is the end token alone; a null id is stored as such; repeated rows are stored each, those
+of one id in the order of their texts' hashes; an empty table gives no rows; columns other than doc_id and text are not used.
+Ids must be below 65,536.
 """
 
 from __future__ import annotations
@@ -29,193 +32,192 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from kindred.llm.tokens import Encoder, groups_by_size
-from kindred.session import cut, scratch_path, ship
-
-BLOCK, SLOTS, SEGMENT_IDS, FILE_SEGMENTS = 2048, 1024, 1 << 21, 8
-MAGIC, END_MARK = b"KTB1", b"KEND"
-_HEAD = struct.Struct("<4sIQII")
-_LENGTHS = 17  # bit lengths 0 to 16
-_SHARE = 4096
-
-
-class _Mixer:
-    """The model of many blocks side by side: predictions, weights and their updates."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64) * SLOTS
-        # Entries: id in the low 16 bits, then whether it was right the last time; 0 is the first guess.
-        self.two, self.one = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.w2, self.w1 = np.full(lanes * 2, 4096, np.int32), np.full(lanes * 2, 4096, np.int32)
-        self.cum = np.repeat((np.arange(_LENGTHS + 1) * (_SHARE - _LENGTHS * 16) // _LENGTHS + np.arange(_LENGTHS + 1) * 16)[:, None], lanes, axis=1).astype(np.int32)
-        self.cum[-1] = _SHARE
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.pair = np.arange(lanes, dtype=np.int64) * 2
-
-    def predict(self, n: int) -> None:
-        """Predictions and weights (of 65,536) for the first n lanes."""
-        last, before, lane = self.last[:n], self.before[:n], self.lane[:n]
-        self.at1 = lane + ((last * 0x9E3779B1 >> 12) & (SLOTS - 1))
-        self.at2 = lane + (((last * 0x85EBCA6B + before * 0xC2B2AE35) >> 11) & (SLOTS - 1))
-        e1, e2 = self.one[self.at1], self.two[self.at2]
-        self.p1, self.p2 = e1 & 0xFFFF, e2 & 0xFFFF
-        self.k1, self.k2 = self.pair[:n] + (e1 >> 16), self.pair[:n] + (e2 >> 16)
-        self.f2 = self.w2[self.k2]
-        rest = 65536 - self.f2
-        f1 = rest * (self.w1[self.k1] >> 4) >> 12
-        self.f1 = np.where(self.p1 == self.p2, 0, f1)
-        self.rest = rest - self.f1
-
-    def update(self, n: int, ids: np.ndarray, length: np.ndarray, coded0: np.ndarray) -> None:
-        hit2, hit1 = self.p2 == ids, self.p1 == ids
-        self.w2[self.k2] += np.where(hit2, 60000 - self.f2, 600 - self.f2) >> 5
-        w1 = self.w1[self.k1]
-        self.w1[self.k1] = np.where(hit2, w1, w1 + (np.where(hit1, 60000 - w1, 600 - w1) >> 5))
-        self.two[self.at2] = ids | (hit2.astype(np.int32) << 16)
-        self.one[self.at1] = ids | (hit1.astype(np.int32) << 16)
-        # Order 0 learns from what it coded: every bound moves a little toward the distribution that has nearly all on this length.
-        cum = self.cum[1:-1, :n]
-        target = np.where(_INNER > length[None, :], np.int32(_SHARE - _LENGTHS * 16), np.int32(0)) + _INNER * np.int32(16)
-        cum += ((target - cum) >> 5) * coded0[None, :]
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-_INNER = np.arange(1, _LENGTHS, dtype=np.int32)[:, None]
+from kindred.llm.worker import give_back
+from kindred.session import cut, delete_path, scratch_path, ship
+
+#: Ids of a block, most lanes of a block, fewest ids of a lane, documents' ids of a segment, segments of a file.
+BLOCK, LANES, LANE_IDS, SEGMENT_IDS, FILE_SEGMENTS = 1 << 21, 4096, 128, 1 << 21, 8
+#: Different ids, slots of the order-2 table, and the highest confidence of a table's entry.
+IDS, SLOTS, SURE = 1 << 16, 1 << 18, 7
+#: Bits of a probability, gain of an id's frequency at each meeting, most that frequencies may sum to, steps between sums.
+UNIT, GAIN, MOST, REFRESH = 28, 48, 1 << 22, 8
+MAGIC, END_MARK = b"KTB2", b"KEND"
+_HEAD, _BLOCK = struct.Struct("<4sIQI"), struct.Struct("<IIII")
 _U = np.uint64
 
 
-def _bit_length(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int32)
-
-
-def _narrow(low: np.ndarray, width: np.ndarray, model: _Mixer, n: int, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Take the coder's interval of the first n lanes to that of ``ids``; returns which ids order 0 coded."""
-    hit2 = model.p2 == ids
-    hit1 = ~hit2 & (model.p1 == ids)
-    coded0 = (~hit2 & ~hit1).astype(np.int32)
-    lanes = np.arange(n)
-    c0, c1 = model.cum[length, lanes], model.cum[length + 1, lanes]
-    s0, s1 = model.rest * c0 >> 12, model.rest * c1 >> 12
-    start = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1 + s0)).astype(_U)
-    size = np.where(hit2, model.f2, np.where(hit1, model.f1, s1 - s0)).astype(_U)
-    unit = width >> _U(16)
-    low += start * unit
-    np.multiply(unit, size, out=width)
-    # The bits below the leading one, evenly.
-    bits = (np.maximum(length - 1, 0) * coded0).astype(_U)
-    width >>= bits
-    low += (ids.astype(_U) & ((_U(1) << bits) - _U(1))) * width
-    return coded0
-
-
-def _settle(low: np.ndarray, width: np.ndarray, active: np.ndarray) -> np.ndarray:
+class _Model:
+    """What a block's lanes share: predictions of orders 2, 1 and 0, how far each is to be trusted, and their updates."""
+
+    def __init__(self):
+        self.frequency = np.ones(IDS, np.int64)
+        # Entries: the id that is expected, and above 16 bits how sure that is.
+        self.one, self.two = np.zeros(IDS, np.int64), np.zeros(SLOTS, np.int64)
+        # Outcomes (order 2 right, order 1 right, neither) by both confidences and whether the two expect the same.
+        self.outcomes = np.tile(np.array([2, 1, 3], np.int64), (2 * (SURE + 1) ** 2, 1))
+        self.met: list[np.ndarray] = []
+        self.steps, self.due = 0, 1
+        self._sum()
+
+    def _sum(self) -> None:
+        """Bring frequencies and weights up to date."""
+        if self.met:
+            self.frequency += np.bincount(np.concatenate(self.met), minlength=IDS) * GAIN
+            self.met = []
+            while int(self.frequency.sum()) > MOST:
+                self.frequency = (self.frequency + 1) >> 1
+        self.cumulative = np.concatenate([[0], np.cumsum(self.frequency)])
+        self.total = int(self.cumulative[-1])
+        old = self.outcomes.sum(axis=1) > 1 << 15
+        self.outcomes[old] = (self.outcomes[old] + 1) >> 1
+        # A 32nd stays for order 0, so that each id has a share.
+        shares = np.cumsum(self.outcomes, axis=1) * ((1 << UNIT) - (1 << (UNIT - 5))) // self.outcomes.sum(axis=1)[:, None]
+        self.upto2, self.upto1 = np.ascontiguousarray(shares[:, 0]), np.ascontiguousarray(shares[:, 1])
+
+    def predict(self, last: np.ndarray, before: np.ndarray) -> None:
+        self.at1, self.at2 = last, (last * 40503 + before * 30011 + (before >> 3)) & (SLOTS - 1)
+        self.e1, self.e2 = self.one[last], self.two[self.at2]
+        self.p1, self.p2 = self.e1 & (IDS - 1), self.e2 & (IDS - 1)
+        self.bin = ((self.e2 >> 16) * (SURE + 1) + (self.e1 >> 16)) * 2 + (self.p1 == self.p2)
+        self.f2, self.f12 = self.upto2[self.bin], self.upto1[self.bin]
+
+    def outcome(self, ids: np.ndarray) -> np.ndarray:
+        """0 where order 2 is right, else 1 where order 1 is, else 2."""
+        self.hit2, self.hit1 = self.p2 == ids, self.p1 == ids
+        return np.where(self.hit2, 0, 2 - self.hit1)
+
+    def update(self, ids: np.ndarray, which: np.ndarray) -> None:
+        self.outcomes += np.bincount(self.bin * 3 + which, minlength=self.outcomes.size).reshape(self.outcomes.shape)
+        for table, at, entry, id_, hit in ((self.two, self.at2, self.e2, self.p2, self.hit2), (self.one, self.at1, self.e1, self.p1, self.hit1)):
+            table[at] = np.where(hit, np.minimum(entry + (1 << 16), id_ | (SURE << 16)), np.where(entry >= 2 << 16, entry - (2 << 16), ids))
+        self.met.append(ids[which == 2])
+        self.steps += 1
+        if self.steps >= self.due:
+            self._sum()
+            self.due = self.steps + min(self.steps, REFRESH)
+
+    def narrow(self, low: np.ndarray, width: np.ndarray, ids: np.ndarray, which: np.ndarray) -> None:
+        """Take each lane's interval to that of its id."""
+        start = np.where(which == 0, 0, self.f2)
+        size = np.where(which == 0, self.f2, self.f12 - self.f2)
+        zero = np.flatnonzero(which == 2)
+        x, f12 = ids[zero], self.f12[zero]
+        rest = (1 << UNIT) - f12
+        a, b = rest * self.cumulative[x] // self.total, rest * self.cumulative[x + 1] // self.total
+        start[zero], size[zero] = f12 + a, b - a
+        unit = width >> _U(UNIT)
+        low += start.astype(_U) * unit
+        np.multiply(unit, size.astype(_U), out=width)
+
+    def read(self, value: np.ndarray) -> np.ndarray:
+        """The id in whose interval each value (of 2 ** UNIT) lies."""
+        ids = np.where(value < self.f2, self.p2, self.p1)
+        zero = np.flatnonzero(value >= self.f12)
+        f12 = self.f12[zero]
+        place = ((value[zero] - f12 + 1) * self.total - 1) // ((1 << UNIT) - f12)
+        ids[zero] = np.searchsorted(self.cumulative, place, "right") - 1
+        return ids
+
+
+def _settled(low: np.ndarray, width: np.ndarray, active: np.ndarray) -> np.ndarray:
     """Of the lanes ``active``, those that must shift out a word now; a straddling narrow interval is cut short."""
     lo, wi = low[active], width[active]
-    same = ((lo ^ (lo + wi)) >> _U(48)) == 0
-    narrow = ~same & (wi < _U(1 << 32))
+    same = (lo ^ (lo + wi - _U(1))) < _U(1 << 48)
+    narrow = (wi < _U(1 << 32)) & ~same
     if narrow.any():
         who = active[narrow]
         width[who] = (~low[who] + _U(1)) & _U((1 << 32) - 1)
     return active[same | narrow]
 
 
-def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The coded words of each block of ids (uint32), and the blocks' CRC-32s."""
-    count = -(-len(ids) // BLOCK)
-    sizes = np.full(count, BLOCK)
-    if count:
-        sizes[-1] = len(ids) - (count - 1) * BLOCK
-    grid = np.zeros(count * BLOCK, np.int32)
+def _lanes(n: int) -> tuple[int, int]:
+    """Lanes of a block of n ids, and the ids of each but the last."""
+    each = -(-n // max(1, min(LANES, n // LANE_IDS)))
+    return -(-n // each), each
+
+
+def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit words of all lanes, words of each lane) of a block of ids."""
+    lanes, each = _lanes(len(ids))
+    grid = np.zeros(lanes * each, np.int64)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(count, BLOCK).T)
-    model = _Mixer(count)
-    low, width = np.zeros(count, _U), np.full(count, (1 << 64) - 1, _U)
-    words, used = np.zeros((count, BLOCK * 3 + 8), "<u2"), np.zeros(count, np.int64)
-    for t in range(int(sizes.max()) if count else 0):
-        n = count if t < sizes[-1] else count - 1
+    grid = np.ascontiguousarray(grid.reshape(lanes, each).T)
+    model, all_ = _Model(), np.arange(lanes)
+    low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    owners, words = [], []
+    for t in range(each):
+        n = lanes if t + (lanes - 1) * each < len(ids) else lanes - 1
         x = grid[t, :n]
-        length = _LENGTH_OF[x]
-        model.predict(n)
-        coded0 = _narrow(low[:n], width[:n], model, n, x, length)
-        model.update(n, x, length, coded0)
-        out = _settle(low, width, np.arange(n))
+        model.predict(last[:n], before[:n])
+        which = model.outcome(x)
+        model.narrow(low[:n], width[:n], x, which)
+        model.update(x, which)
+        before, last = last, x
+        out = _settled(low, width, all_[:n])
         while len(out):
-            words[out, used[out]] = low[out] >> _U(48)
-            used[out] += 1
+            owners.append(out)
+            words.append(low[out] >> _U(48))
             low[out] <<= _U(16)
             width[out] <<= _U(16)
-            out = _settle(low, width, out)
-    coded = []
-    for b in range(count):
-        tail = np.array([(int(low[b]) >> s) & 0xFFFF for s in (48, 32, 16, 0)], "<u2")
-        coded.append(words[b, : used[b]].tobytes() + tail.tobytes())
-    raw = ids.astype("<u4")
-    return coded, np.array([zlib.crc32(raw[b * BLOCK : (b + 1) * BLOCK]) for b in range(count)], "<u4")
-
-
-def decode_blocks(coded: list[bytes], total: int, checks: np.ndarray) -> np.ndarray:
-    """Ids of blocks coded by ``encode_blocks``; raises if a block's checksum differs."""
-    count = len(coded)
-    sizes = np.full(count, BLOCK)
-    if count:
-        sizes[-1] = total - (count - 1) * BLOCK
-    longest = max(map(len, coded), default=0) // 2
-    words = np.zeros((count, longest + 4), "<u2")
-    for b, c in enumerate(coded):
-        words[b, : len(c) // 2] = np.frombuffer(c, "<u2")
-    words = words.astype(_U)
-    model = _Mixer(count)
-    low, width, used = np.zeros(count, _U), np.full(count, (1 << 64) - 1, _U), np.full(count, 4, np.int64)
-    code = (words[:, 0] << _U(48)) | (words[:, 1] << _U(32)) | (words[:, 2] << _U(16)) | words[:, 3]
-    grid = np.zeros((BLOCK, count), np.int32)
-    for t in range(int(sizes.max()) if count else 0):
-        n = count if t < sizes[-1] else count - 1
-        model.predict(n)
-        unit = width[:n] >> _U(16)
-        value = ((code[:n] - low[:n]) // unit).astype(np.int32)
-        part = value - model.f2 - model.f1
-        bounds = model.rest * model.cum[1:-1, :n] >> 12
-        length = (bounds <= part).sum(axis=0).astype(np.int32)
-        zero = part >= 0
-        lanes = np.arange(n)
-        bits = np.maximum(length - 1, 0).astype(_U)
-        c0, c1 = model.cum[length, lanes], model.cum[length + 1, lanes]
-        s0, s1 = model.rest * c0 >> 12, model.rest * c1 >> 12
-        inner = (unit * (s1 - s0).astype(_U)) >> bits
-        inside = (code[:n] - low[:n] - (model.f2 + model.f1 + s0).astype(_U) * unit) // np.maximum(inner, _U(1))
-        x0 = np.where(length > 0, (_U(1) << bits) | (inside & ((_U(1) << bits) - _U(1))), _U(0)).astype(np.int32)
-        x = np.where(zero, x0, np.where(value < model.f2, model.p2, model.p1)).astype(np.int32)
+            out = _settled(low, width, out)
+    end = (low + _U((1 << 32) - 1)) >> _U(32)
+    owner = np.concatenate([*owners, all_, all_]).astype(np.uint16)
+    word = np.concatenate([*words, end >> _U(16), end & _U(0xFFFF)]).astype("<u2")
+    return word[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=lanes)
+
+
+def decode_block(words: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
+    """The ids of a block coded by ``encode_block``."""
+    lanes, each = _lanes(total)
+    if len(counts) != lanes:
+        raise ValueError("block of another shape")
+    words = np.append(words, np.zeros(1, "<u2")).astype(_U)
+    stop = np.cumsum(counts)
+    at = stop - counts
+    model, all_ = _Model(), np.arange(lanes)
+    low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    code = np.zeros(lanes, _U)
+
+    def take(who: np.ndarray) -> None:
+        place = at[who]
+        code[who] = (code[who] << _U(16)) | np.where(place < stop[who], words[np.minimum(place, len(words) - 1)], _U(0))
+        at[who] += 1
+
+    for _ in range(4):
+        take(all_)
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    grid = np.zeros((each, lanes), np.int64)
+    for t in range(each):
+        n = lanes if t + (lanes - 1) * each < total else lanes - 1
+        model.predict(last[:n], before[:n])
+        x = model.read(((code[:n] - low[:n]) // (width[:n] >> _U(UNIT))).astype(np.int64))
         grid[t, :n] = x
-        length = _LENGTH_OF[x]
-        coded0 = _narrow(low[:n], width[:n], model, n, x, length)
-        model.update(n, x, length, coded0)
-        out = _settle(low, width, np.arange(n))
+        which = model.outcome(x)
+        model.narrow(low[:n], width[:n], x, which)
+        model.update(x, which)
+        before, last = last, x
+        out = _settled(low, width, all_[:n])
         while len(out):
-            code[out] = (code[out] << _U(16)) | words[out, np.minimum(used[out], words.shape[1] - 1)]
-            used[out] += 1
             low[out] <<= _U(16)
             width[out] <<= _U(16)
-            out = _settle(low, width, out)
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:total].astype(np.uint32)
-    raw = ids.astype("<u4")
-    for b in range(count):
-        if zlib.crc32(raw[b * BLOCK : (b + 1) * BLOCK]) != checks[b]:
-            raise ValueError(f"block {b} fails its checksum")
-    return ids
-
-
-_LENGTH_OF = _bit_length(np.arange(65536))
+            take(out)
+            out = _settled(low, width, out)
+    return np.ascontiguousarray(grid.T).reshape(-1)[:total].astype(np.uint32)
 
 
 def write_segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment of documents with these ids one after another."""
-    if len(ids) and int(ids.max()) > 0xFFFF:
+    if len(ids) and int(ids.max()) >= IDS:
         raise ValueError("ids must be below 65,536")
-    coded, checks = encode_blocks(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     names = np.array([d if d is not None else 0 for d in doc_ids], "<i8")
-    sizes = np.array([len(c) // 2 for c in coded], "<u4")
-    body = b"".join([_HEAD.pack(MAGIC, len(doc_ids), len(ids), len(coded), BLOCK), names.tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), sizes.tobytes(), checks.tobytes(), *coded])
+    blocks = [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
+    parts = [_HEAD.pack(MAGIC, len(doc_ids), len(ids), len(blocks)), names.tobytes(), known.tobytes(), counts.astype("<u8").tobytes()]
+    for own in blocks:
+        words, each = encode_block(own)
+        parts += [_BLOCK.pack(len(own), len(each), len(words), zlib.crc32(own.astype("<u4"))), each.astype("<u2").tobytes(), words.tobytes()]
+    body = b"".join(parts)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -223,27 +225,34 @@ def read_segments(raw: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc_ids, counts, ids) of each segment of a file."""
     at = 0
     while at < len(raw):
-        magic, n, total, blocks, block = _HEAD.unpack_from(raw, at)
-        if magic != MAGIC or block != BLOCK:
+        magic, n, total, blocks = _HEAD.unpack_from(raw, at)
+        if magic != MAGIC:
             raise ValueError("not a token segment")
         begin, at = at, at + _HEAD.size
         names = np.frombuffer(raw, "<i8", n, at)
         known = np.frombuffer(raw, np.uint8, n, at + 8 * n)
         counts = np.frombuffer(raw, "<u8", n, at + 9 * n).astype(np.int64)
         at += 17 * n
-        sizes = np.frombuffer(raw, "<u4", blocks, at).astype(np.int64)
-        checks = np.frombuffer(raw, "<u4", blocks, at + 4 * blocks)
-        at += 8 * blocks
-        ends = at + 2 * np.cumsum(sizes)
-        coded = [raw[int(e - 2 * s) : int(e)] for e, s in zip(ends, sizes, strict=True)]
-        at = int(ends[-1]) if blocks else at
+        coded = []
+        for _ in range(blocks):
+            size, lanes, words, check = _BLOCK.unpack_from(raw, at)
+            at += _BLOCK.size
+            coded.append((np.frombuffer(raw, "<u2", words, at + 2 * lanes), np.frombuffer(raw, "<u2", lanes, at).astype(np.int64), size, check))
+            at += 2 * (lanes + words)
         if struct.unpack_from("<I", raw, at)[0] != zlib.crc32(raw[begin:at]):
             raise ValueError("segment fails its checksum")
         at += 4
         if raw[at : at + len(END_MARK)] != END_MARK:
             raise ValueError("segment lacks its end mark")
         at += len(END_MARK)
-        yield [int(d) if k else None for d, k in zip(names, known, strict=True)], counts, decode_blocks(coded, total, checks)
+        ids = [np.zeros(0, np.uint32)]
+        for words, each, size, check in coded:
+            ids.append(decode_block(words, each, size))
+            if zlib.crc32(ids[-1].astype("<u4")) != check:
+                raise ValueError("block fails its checksum")
+        if sum(map(len, ids)) != total:
+            raise ValueError("segment lacks ids")
+        yield [int(d) if k else None for d, k in zip(names, known, strict=True)], counts, np.concatenate(ids)
 
 
 def write_tokens(docs: DataFrame, path: str, end: int = 0, vocabulary: str | None = None) -> None:
@@ -276,8 +285,12 @@ def write_tokens(docs: DataFrame, path: str, end: int = 0, vocabulary: str | Non
                         names, parts, counts, size = [], [], [], 0
         if names:
             yield segment()
+        give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Many rows of one id, or of none, are dealt over several ranges by their texts.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     segments = rows.mapInArrow(run, "segment binary")
     segments.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", END_MARK.decode()).option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
@@ -297,16 +310,21 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     n = len(names)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(names, pa.int64()), pa.array(ends - counts + start), pa.array(counts), pa.array(crc, pa.int64())], ["file", "doc_id", "inner", "n_tokens", "ids_crc32"])
                     start += int(ends[-1]) if n else 0
+        give_back()
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     docs = cut(files.mapInArrow(run, "file string, doc_id long, inner long, n_tokens long, ids_crc32 long"))
-    # One row per file; file names sort as the ranges of doc_id that they hold.
+    # One row per file. A file's name ends in the numbers of its range of doc_id and of the file within the range.
     totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    totals = totals.select("file", (F.sum("total").over(W.orderBy("file")) - F.col("total")).alias("before"))
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    order = W.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)[^-]*$"), "file")
+    totals = totals.select("file", (F.sum("total").over(order) - F.col("total")).alias("before"))
     return docs.join(totals, "file").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_tokenfile(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return read_tokens(spark, path)
+    found = read_tokens(spark, path)  # holds what it needs of the files
+    delete_path(spark, path)
+    return found
