@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm import words
-from kindred.llm.worker import by_key, give_back
+from kindred.llm.worker import by_key, forget_others, give_back
 from kindred.operators.components import components
 from kindred.session import cut, release, ship
 
@@ -94,6 +94,7 @@ def sketch_rows(width: int):
     """mapInArrow function: (doc_id, text) to (doc_id, n_shingles, digest, registers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             n, digest, regs = [], [], []
             for s in words.shingle_sets(batch.column(1), width):

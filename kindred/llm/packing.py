@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kindred.llm.tokens import Encoder, groups_by_size
+from kindred.llm.worker import give_back
 from kindred.session import cut, ship
 
 #: Pieces in a partition that is packed at once, and most rounds of repacking.
@@ -105,6 +106,7 @@ def token_pieces(vocabulary: str | None, capacity: int, end: int):
                     [names.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        give_back()
 
     return run
 

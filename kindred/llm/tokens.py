@@ -2,7 +2,8 @@
 
 The vocabulary's splitting pattern never joins characters across a single space between two characters that aren't
 white space, so a text may be cut there and each piece (with its leading space) encoded alone with the same
-result. Pieces recur, so their ids are kept in a bounded cache: most of a text is then a dictionary lookup.
+result. Pieces recur, so their ids are kept in a bounded cache of two generations: most of a text is then a dictionary lookup,
+and a piece that was met in neither of the last two generations is forgotten.
 Pieces of letters with at most one closing mark go straight to the library's BPE model, all others through its full
 encoder.
 """
@@ -12,12 +13,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import islice
 
 import numpy as np
 
-#: Pieces kept before the later half of them is given up, and longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 800_000, 48
+from kindred.llm.worker import CACHES
+
+#: Pieces of a generation (two are kept, about 200 bytes a piece), and longest piece that is kept.
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 #: White space other than space and newline, as the cutting rule must see it.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -62,24 +64,24 @@ class Encoder:
         vocabulary = vocabulary or default_vocabulary()
         if vocabulary not in cls._made:
             cls._made[vocabulary] = cls(vocabulary)
+        CACHES["tokens"] = cls._made.clear
         return cls._made[vocabulary]
 
     def _clear(self) -> None:
         self._flat, self._ends = array("I"), array("q", [0])
         self._inner, self._first, self._marks = _Places(self, " "), _Places(self, ""), _Marks(self._model)
 
-    def _shrink(self) -> None:
-        """Keep the half of the pieces that came first: frequent ones come early."""
-        kept = dict(islice(self._inner.items(), CACHE_PIECES // 2))
-        top = max(kept.values(), default=-1) + 1
-        del self._ends[top + 1 :]
-        del self._flat[self._ends[top] :]
-        first = {k: v for k, v in self._first.items() if v < top}
-        self._inner, self._first = _Places(self, " "), _Places(self, "")
-        self._inner.update(kept)
-        self._first.update(first)
-        if len(self._flat) > 8 * CACHE_PIECES:
-            self._clear()
+    def _turn(self) -> None:
+        """Begin a new generation: this one becomes the old one, and the ids of what only the last one held go."""
+        inner, first = self._inner, self._first
+        ends = np.frombuffer(self._ends, np.int64)
+        where = np.array([*inner.values(), *first.values()], np.int64)
+        starts, lengths = ends[where], ends[where + 1] - ends[where]
+        after = np.cumsum(lengths)
+        flat = np.frombuffer(self._flat, np.uint32)[np.repeat(starts - (after - lengths), lengths) + np.arange(int(after[-1]) if len(after) else 0)]
+        del ends
+        self._flat, self._ends = array("I", flat.tobytes()), array("q", np.concatenate([[0], after]).astype(np.int64).tobytes())
+        self._inner, self._first = _Places(self, " ", dict(zip(inner, range(len(inner))))), _Places(self, "", dict(zip(first, range(len(inner), len(where)))))
 
     def _add(self, piece: str) -> int:
         """Encode one piece and give its place among the kept ones."""
@@ -110,8 +112,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts one after another, and n + 1 offsets; ``end`` closes each text."""
-        if len(self._inner) + len(self._first) > CACHE_PIECES or len(self._flat) > 16 * CACHE_PIECES:
-            self._shrink()
+        if len(self._inner) + len(self._first) > CACHE_PIECES or len(self._flat) > 32 * CACHE_PIECES:
+            self._turn()
         places: list[int] = []
         counts = []
         stop = None
@@ -142,12 +144,16 @@ class Encoder:
 
 
 class _Places(dict):
-    """piece -> place of its ids; encodes a missing piece with the given lead."""
+    """piece -> place of its ids in this generation; takes a missing piece over from the old one, or encodes it with the given lead."""
 
-    def __init__(self, owner: Encoder, lead: str):
-        self._owner, self._lead = owner, lead
+    def __init__(self, owner: Encoder, lead: str, old: dict[str, int] | None = None):
+        self._owner, self._lead, self._old = owner, lead, old or {}
 
     def __missing__(self, piece: str) -> int:
+        place = self._old.get(piece)
+        if place is not None:
+            self[piece] = place
+            return place
         if piece.isascii() and piece.isalpha() and self._lead:
             place = self._owner._add_word(piece)
         else:

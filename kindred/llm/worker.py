@@ -19,6 +19,16 @@ def _libc():
         return None
 
 
+#: How to empty the large caches of this worker, by the module that filled them.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(*kept: str) -> None:
+    """Empty the caches that earlier stages left in this worker; those of the modules named stay."""
+    for name in [n for n in CACHES if n not in kept]:
+        CACHES.pop(name)()
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on between tasks, and an executor's memory counts them all."""
     pa.default_memory_pool().release_unused()
