@@ -5,9 +5,10 @@ second byte belongs to a letter. Each is hashed to one of ``BUCKETS`` embeddings
 embeddings, and a linear layer gives one logit per language. Both layers are trained by stochastic gradient descent in
 numpy, then folded into one table of per-bucket logits, so that a text of any length costs one gather per subword.
 
-Training rows are bounded: about ``per_label`` of each language, chosen by a hash of the id, of each of which at most
-``SUBWORDS`` evenly spread subwords go to the driver. A fifth of them is set aside to fit the softmax temperature
-and the rejection threshold (below which the given share of rightly labelled texts would fall).
+Only the rows of the training sample are bounded: about ``per_label`` rows of each language, or fewer of all alike where their
+texts are so long that the sample would pass ``SAMPLE_BYTES``, chosen by a hash of id and text. Whole texts are learnt from:
+all subwords of a row go to the driver as counts. Every language of the labelled rows is learnt. A fifth of the sample is set
+aside to fit the softmax temperature and the rejection threshold (below which the given share of rightly labelled texts would fall).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; without any labelled row
 every text is ``und``; rows with a null id or null language are predicted but never learnt from; repeated rows have
@@ -16,7 +17,6 @@ equal results; an empty table gives no rows; other columns are not used.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,26 +25,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kindred.llm.words import text_buffers
+from kindred.llm.worker import forget_others, give_back
 from kindred.session import ship
 
-BUCKETS, SIZE, SUBWORDS = 1 << 15, 16, 400
+BUCKETS, SIZE = 1 << 15, 16
+#: Most bytes that the training sample is expected to have on the driver, as distinct subwords of six bytes each.
+SAMPLE_BYTES = 128 << 20
 #: Fewest steps of gradient descent: small samples are gone through more often.
-LEAST_STEPS = 800
+LEAST_STEPS = 250
 #: Bytes handled at once.
 BLOCK = 1 << 20
 
-_letter = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def subwords(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all 3- and 4-grams of the bytes and the places of their first bytes; grams whose second byte is no letter's are left out."""
+def subwords(raw: np.ndarray, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all 3- and 4-grams of the bytes that begin before ``stop``, and the places of their first bytes; grams whose second byte is no letter's are left out."""
     b = np.concatenate([_FOLD[raw], np.full(3, 32, np.uint8)]).astype(np.uint32)
-    n = len(raw)
-    if n < 2:
+    n = len(raw) if stop is None else min(stop, len(raw))
+    if len(raw) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = np.flatnonzero(b[1 : n + 1] != 32)
     three = b[:n] | (b[1 : n + 1] << np.uint32(8)) | (b[2 : n + 2] << np.uint32(16))
@@ -55,18 +57,31 @@ def subwords(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h3, h4]).astype(np.int64), np.concatenate([place, place])
 
 
+def subword_counts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of all subwords of a text, a block at a time."""
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(raw), BLOCK):
+        total += np.bincount(subwords(raw[at : at + BLOCK + 3], BLOCK)[0], minlength=BUCKETS)
+    own = np.flatnonzero(total)
+    return own, total[own]
+
+
 @dataclass
 class Model:
-    """labels, per-bucket logits (BUCKETS, labels), bias, softmax temperature and rejection threshold."""
+    """labels, embeddings (BUCKETS, SIZE) and what takes their mean to logits (SIZE, labels), bias, softmax temperature and rejection threshold.
+
+    With at most SIZE languages the two are folded into one table of logits and ``weights`` is None.
+    """
 
     labels: list[str]
     table: np.ndarray
+    weights: np.ndarray | None
     bias: np.ndarray
     temperature: float
     threshold: float
 
     def probabilities(self, means: np.ndarray) -> np.ndarray:
-        z = (means + self.bias) / self.temperature
+        z = ((means if self.weights is None else means @ self.weights) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -74,17 +89,17 @@ class Model:
         """Language and probability of each text."""
         raw, offsets = text_buffers(column)
         n = len(offsets) - 1
-        k = len(self.labels)
-        sums, counts = np.zeros((n, k)), np.zeros(n)
+        k, width = len(self.labels), self.table.shape[1]
+        sums, counts = np.zeros((n, width)), np.zeros(n)
         i = 0
         while i < n:
             to = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
             for a, b, lo, hi in self._blocks(offsets, i, to):
-                got, place = subwords(raw[a:b])
+                got, place = subwords(raw[a : min(b + 3, int(offsets[hi]))], b - a)
                 if len(got):
                     doc = np.searchsorted(offsets[lo : hi + 1], place + a, "right") - 1
                     values = self.table[got]
-                    for c in range(k):
+                    for c in range(width):
                         sums[lo:hi, c] += np.bincount(doc, weights=values[:, c], minlength=hi - lo)
                     counts[lo:hi] += np.bincount(doc, minlength=hi - lo)
             i = to
@@ -115,47 +130,55 @@ def _has_letter(raw: np.ndarray) -> bool:
     fold = _FOLD[raw[:4096]]
     if ((fold > 32) & (fold < 128)).any():
         return True
-    return bool(_letter.search(raw.tobytes().decode("utf-8", "replace")))
+    return any(map(str.isalpha, raw.tobytes().decode("utf-8", "replace")))
 
 
-def fit(samples: list[tuple[str, list[int]]], epochs: int = 6, rate: float = 0.5, reject: float = 0.002, seed: int = 3) -> Model:
-    """A model from (language, buckets) samples."""
-    labels = sorted({lang for lang, b in samples if b})
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, rate: float = 0.5, reject: float = 0.002, seed: int = 3) -> Model:
+    """A model from (language, buckets, counts) samples."""
+    samples = sorted((s for s in samples if len(s[1])), key=lambda s: (s[0], len(s[1]), s[1].tobytes(), s[2].tobytes()))
+    labels = sorted({s[0] for s in samples})
+    if not labels:
+        return Model([], np.zeros((BUCKETS, 0)), None, np.zeros(0), 1.0, 0.5)
     rng = np.random.Generator(np.random.PCG64(seed))
-    samples = sorted((s for s in samples if s[1]), key=lambda s: (s[0], s[1]))
+    number = {lang: i for i, lang in enumerate(labels)}
+    y = np.array([number[s[0]] for s in samples], np.int64)
+    # Of each language a fifth is set aside, but nothing where it has less than five rows.
     order = rng.permutation(len(samples))
-    held = set(order[: len(samples) // 5].tolist())
-    y = np.array([labels.index(lang) for lang, _ in samples], np.int64)
+    seen, held = np.zeros(len(labels), np.int64), np.zeros(len(samples), bool)
+    for i in order.tolist():
+        seen[y[i]] += 1
+        held[i] = seen[y[i]] % 5 == 0
     e = (rng.standard_normal((BUCKETS, SIZE)) * 0.1).astype(np.float32)
-    w, bias = np.zeros((SIZE, len(labels)), np.float32), np.zeros(len(labels), np.float32)
-    w += rng.standard_normal(w.shape).astype(np.float32) * 0.1
-    train = np.array([i for i in range(len(samples)) if i not in held] or list(range(len(samples))), np.int64)
+    w, bias = (rng.standard_normal((SIZE, len(labels))) * 0.1).astype(np.float32), np.zeros(len(labels), np.float32)
+    train, check = np.flatnonzero(~held), np.flatnonzero(held)
     size = 32
-    epochs = max(epochs, -(-LEAST_STEPS * size // max(len(train), 1)))
+    epochs = max(epochs, -(-LEAST_STEPS * size // len(train)))
     steps, total = 0, epochs * -(-len(train) // size)
-    for _ in range(epochs if labels else 0):
+    shares = [(s[2] / s[2].sum()).astype(np.float32) for s in samples]
+    for _ in range(epochs):
         rng.shuffle(train)
         for at in range(0, len(train), size):
             own = train[at : at + size]
+            flat, share = np.concatenate([samples[i][1] for i in own]).astype(np.int64), np.concatenate([shares[i] for i in own])
             lengths = np.array([len(samples[i][1]) for i in own])
-            flat = np.concatenate([np.asarray(samples[i][1], np.int64) for i in own])
             starts = np.cumsum(lengths) - lengths
-            mean = np.add.reduceat(e[flat], starts, axis=0) / lengths[:, None]
+            mean = np.add.reduceat(e[flat] * share[:, None], starts, axis=0)
             z = mean @ w + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(own)), y[own]] -= 1.0
             now = rate * (1.0 - steps / total)
-            d_mean = p @ w.T
+            d_mean = (p @ w.T) * np.float32(8.0 * now)
             w -= now * (mean.T @ p) / len(own)
             bias -= now * p.mean(axis=0)
-            np.subtract.at(e, flat, np.repeat((now * d_mean / lengths[:, None]).astype(np.float32) * 8.0, lengths, axis=0))
+            which, place = np.unique(flat, return_inverse=True)
+            parts = np.repeat(d_mean, lengths, axis=0) * share[:, None]
+            e[which] -= np.stack([np.bincount(place, weights=parts[:, c], minlength=len(which)) for c in range(SIZE)], axis=1).astype(np.float32)
             steps += 1
-    table = (e @ w).astype(np.float64)
-    model = Model(labels, table, bias.astype(np.float64), 1.0, 0.0)
-    check = [i for i in held if samples[i][1]]
-    if check and labels:
-        means = np.array([table[np.asarray(samples[i][1])].mean(axis=0) for i in check])
+    folded = len(labels) <= SIZE
+    model = Model(labels, (e @ w).astype(np.float64) if folded else e.astype(np.float64), None if folded else w.astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
+    if len(check):
+        means = np.array([shares[i] @ model.table[samples[i][1]] for i in check])
         truth = y[check]
 
         def loss(t: float) -> float:
@@ -173,29 +196,30 @@ def fold_of(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 4).cast("int")
 
 
-def learn(docs: DataFrame, per_label: int = 1500, most_labels: int = 500) -> Model:
-    """A model from the rows of ``docs`` (doc_id, text, lang) outside fold 2, about ``per_label`` of each of the ``most_labels`` most frequent languages."""
+def learn(docs: DataFrame, per_label: int = 600, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from about ``per_label`` rows of each language among the rows of ``docs`` (doc_id, text, lang) outside fold 2."""
     ship(docs.sparkSession)
-    rows = docs.where(fold_of(F.col("doc_id")) != 2).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
-    if not counts:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.5)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_label / r["count"])))])
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(chance < F.try_element_at(share, F.col("lang"))).select("lang", "text")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select("doc_id", "text", "lang").where(fold_of(F.col("doc_id")) != 2).where("lang is not null and text is not null")
+    cost = F.least(2 * F.octet_length("text"), F.lit(BUCKETS)) * 6.0
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(cost).alias("cost"))
+    per = per.withColumn("share", F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("n")))
+    expected = per.agg(F.sum(F.col("n") * F.col("share") * F.col("cost"))).first()[0] or 0.0
+    per = per.select(F.col("lang").alias("of_lang"), (F.col("share") * min(1.0, sample_bytes / max(expected, 1.0))).alias("share"))  # a row for each language that the model will have
+    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.join(F.broadcast(per), F.col("lang") == F.col("of_lang")).where(chance < F.col("share")).select("lang", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                raw, _ = text_buffers(batch.column(1).slice(i, 1))
-                # Evenly spread stretches of the whole text.
-                parts = [raw[int(a) : int(a) + 48] for a in np.linspace(0, max(0, len(raw) - 48), 6 if len(raw) > 400 else 1)] if len(raw) > 400 else [raw]
-                got = np.concatenate([subwords(p)[0] for p in parts])
-                out.append(got[:: max(1, -(-len(got) // SUBWORDS))].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["lang", "buckets"])
+            raw, offsets = text_buffers(batch.column(1))
+            for at in range(0, batch.num_rows, 256):
+                got = [subword_counts(raw[offsets[i] : offsets[i + 1]]) for i in range(at, min(at + 256, batch.num_rows))]
+                columns = [pa.array([b.astype("<u2").tobytes() for b, _ in got], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *columns], ["lang", "buckets", "counts"])
+        give_back()
 
-    return fit([(r["lang"], list(r["buckets"])) for r in chosen.mapInArrow(spread, "lang string, buckets array<int>").toLocalIterator()])
+    found = chosen.mapInArrow(counted, "lang string, buckets binary, counts binary").toLocalIterator()
+    return fit([(r["lang"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<f4")) for r in found])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -208,6 +232,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             names, score = model.predict(batch.column(1))
             rejected = [n == "und" or s < model.threshold for n, s in zip(names, score.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+        give_back()
 
     typed = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {typed}, lang_pred string, score double, rejected boolean")
@@ -220,9 +245,13 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, score = model.predict(batch.column(place))
-            yield batch.filter(pa.array([n != "und" and s >= model.threshold for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
+        forget_others()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                names, score = model.predict(batch.column(place))
+                yield batch.filter(pa.array([n != "und" and s >= model.threshold for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
