@@ -1,12 +1,12 @@
 """Secrets in whole texts: exact patterns, and character Markov models compared by log-likelihood ratio.
 
-Two second-order models over the token alphabet are trained from labelled samples: random strings (hexadecimal,
-alphanumeric, base64) and ordinary strings (words, identifiers in several styles, numbers, versions, paths). Both samples
-come from a seeded generator. Every run of token characters of ``MIN_RUN`` or more in every text is scored by the sum of
-log P(random) - log P(ordinary) over its characters; it is a secret if the ratio per character exceeds a threshold that
-the ordinary training sample never reaches, and it mixes letters with digits or cases. In a run that is none as a whole (a key
-in a path, or after a name), the stretches of ``MIN_RUN`` or more with the greatest sums above the threshold are secrets, each
-widened to the letters and digits it ends in.
+Two second-order models over the token alphabet are trained from labelled samples: random strings (hexadecimal, letters of one
+case or both, alphanumeric, base64) and ordinary strings (words, identifiers in several styles, numbers, versions, paths). Both
+samples come from a seeded generator. Every run of token characters of ``MIN_RUN`` or more in every text is scored by the mean of
+log P(random) - log P(ordinary) over its characters, and is a secret if that exceeds what any ordinary training string reaches.
+In a run that is none as a whole (a key in a path, or after a name), the stretches of ``MIN_RUN`` or more with the greatest sums
+above what any stretch of an ordinary training string reaches are secrets, each widened to the letters and digits it ends in.
+Nothing but the two models decides.
 
 Pattern spans always stay; what they leave of a run is scored as a run of its own.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,6 +31,10 @@ from kindred.session import ship
 #: Fixed order of the kinds; the last is what the models add.
 KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 16
+#: Share of an even distribution in each model, so that one unseen character doesn't decide.
+EVEN = 0.05
+#: How far above all ordinary training strings a score must lie.
+MARGIN = 0.3
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -64,14 +69,20 @@ def labelled_strings(n: int, seed: int) -> tuple[list[str], list[str]]:
     rng = np.random.Generator(np.random.PCG64(seed))
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     chars = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
-    parts = "the ing and ion tio ent ati for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat ung sch ich ein der lich keit que eau ment aux ción mente ado osa".replace("ó", "o").split()
+    parts = (
+        "the ing and ion tio ent ati for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat "
+        "ly ble ness ful ship less ous ough ight wh sh st sp tr ck th qu ph un re in on en an er al or "
+        "ung sch ich ein der lich keit heit ge be zu ver ach pf tz ch ck st auf gen bar los zug eu ei ie "
+        "que eau ment aux cion mente ado osa eux oir elle ette ais ez les ille gn oi ou "
+        "llo rra ente ista dad cia iento ando ar ir"
+    ).split()
     word = lambda: "".join(pick(parts) for _ in range(int(rng.integers(1, 4))))
-    kinds = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + "0123456789")
+    kinds = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + "0123456789", ALPHABET[:52], ALPHABET[:26], ALPHABET[26:52])
     random = [chars(pick(kinds), int(rng.integers(MIN_RUN, 65))) for _ in range(n)]
 
     def ordinary() -> str:
         words = [word() for _ in range(12)]
-        form = rng.integers(9)
+        form = rng.integers(12)
         if form == 0:
             s = "_".join(words)
         elif form == 1:
@@ -88,6 +99,12 @@ def labelled_strings(n: int, seed: int) -> tuple[list[str], list[str]]:
             s = "".join(words[:3]) + str(rng.integers(1, 1000)) + "_" + "_".join(words)
         elif form == 7:
             s = pick(["=", "-", "_", "+", "/"]) * 40 if rng.integers(2) else str(rng.integers(0, 10)) * 6 + "0" * 30
+        elif form == 8:
+            s = chars("0123456789", 48)
+        elif form == 9:
+            s = pick("/_-").join(chars("0123456789", int(rng.integers(1, 21))) if rng.integers(3) == 0 else w for w in words)
+        elif form == 10:
+            s = "-".join(chars("0123456789", int(rng.integers(2, 7))) for _ in range(16))
         else:
             s = "".join(words)
         return s[: int(rng.integers(MIN_RUN, 48))]
@@ -101,8 +118,9 @@ class Ratio:
     def __init__(self, n: int = 4000, seed: int = 31):
         random, ordinary = labelled_strings(n, seed)
         self.table = self._model(random) - self._model(ordinary)
-        scores = self.scores(ordinary)
-        self.threshold = max(1.0, float(scores.max()) + 0.02)
+        self.threshold = max(0.0, float(self.scores(ordinary).max())) + MARGIN
+        #: The same for the best stretch of MIN_RUN characters.
+        self.stretch_threshold = max(self.threshold, max(float(np.convolve(self.steps(s), np.full(MIN_RUN - 2, 1.0 / (MIN_RUN - 2)), "valid").max()) for s in ordinary) + MARGIN)
 
     @staticmethod
     def _codes(s: str) -> np.ndarray:
@@ -118,7 +136,8 @@ class Ratio:
         first = second.sum(axis=0) + 1.0
         p1 = first / first.sum()
         p2 = (second + 4.0 * p1) / (second.sum(axis=1, keepdims=True) + 4.0)
-        return np.log((third + 4.0 * p2[None]) / (third.sum(axis=2, keepdims=True) + 4.0))
+        p3 = (third + 4.0 * p2[None]) / (third.sum(axis=2, keepdims=True) + 4.0)
+        return np.log((1.0 - EVEN) * p3 + EVEN / len(ALPHABET))
 
     def scores(self, strings: list[str]) -> np.ndarray:
         """Mean ratio per character of each string."""
@@ -135,22 +154,14 @@ def trained_ratio() -> Ratio:
     return Ratio()
 
 
-def mixed(s: str) -> bool:
-    """Digits with letters, or both cases with changes between them inside the string."""
-    digits = sum(c.isdigit() for c in s)
-    upper = sum(c.isupper() for c in s)
-    lower = sum(c.islower() for c in s)
-    return (digits >= 2 and upper + lower >= 2) or (upper >= 4 and lower >= 4)
-
-
 def stretches(run: str, ratio: Ratio) -> list[tuple[int, int]]:
     """(start, end) of the secrets in a run of token characters: the whole run, or its best stretches of MIN_RUN or more."""
-    if len(run) < MIN_RUN or not mixed(run):
+    if len(run) < MIN_RUN:
         return []
     steps = ratio.steps(run)
     if steps.mean() > ratio.threshold:
         return [(0, len(run))]
-    sums = np.concatenate([[0.0], np.cumsum(steps - ratio.threshold)])
+    sums = np.concatenate([[0.0], np.cumsum(steps - ratio.stretch_threshold)])
     found, parts = [], [(0, len(steps))]
     while parts:
         lo, hi = parts.pop()
@@ -164,12 +175,11 @@ def stretches(run: str, ratio: Ratio) -> list[tuple[int, int]]:
         start, end = lo + int(own[: k + 1].argmin()), lo + k + MIN_RUN - 2
         parts += [(lo, start), (end, hi)]
         a, b = (start + 2 if start else 0), end + 2
-        if mixed(run[a:b]):
-            while a and run[a - 1].isalnum():
-                a -= 1
-            while b < len(run) and run[b].isalnum():
-                b += 1
-            found.append((a, b))
+        while a and run[a - 1].isalnum():
+            a -= 1
+        while b < len(run) and run[b].isalnum():
+            b += 1
+        found.append((a, b))
     joined: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if joined and a <= joined[-1][1]:
@@ -184,15 +194,18 @@ def spans_of(text: str | None, ratio: Ratio) -> tuple[list, list]:
     base = base_spans(text)
     if not text:
         return base, base
-    more = []
+    reach = list(itertools.accumulate((e for _, _, e in base), max))
+    more, first = [], 0
     for m in _RUN.finditer(text):
-        if not mixed(m[0]):
-            continue
-        at = m.start()
-        for _, s, e in [*base, ("", m.end(), m.end())]:
-            if e > at and s <= m.end():
-                more += [("markov", at + a, at + b) for a, b in stretches(text[at:s], ratio)] if s > at else []
-                at = max(at, e)
+        at, stop = m.start(), m.end()
+        while first < len(base) and reach[first] <= at:  # spans that end before this run, and all before them
+            first += 1
+        for _, s, e in itertools.takewhile(lambda span: span[1] < stop, itertools.islice(base, first, None)):
+            if s > at:
+                more += [("markov", at + a, at + b) for a, b in stretches(text[at:s], ratio)]
+            at = max(at, e)
+        if at < stop:
+            more += [("markov", at + a, at + b) for a, b in stretches(text[at:stop], ratio)]
     return base, in_order(base + more)
 
 
