@@ -7,7 +7,8 @@ windows of many texts run side by side, each is decoded by Viterbi, and a charac
 window in whose middle it lies; spans are then read from the whole text's tags. Windows where the all-outside path is
 provably the best one (no interval of tags could gain by any transition) skip the search and have that result.
 
-Pattern spans always stay; a tagged span is added if it overlaps none and passes its kind's plausibility rule.
+Pattern spans always stay; a tagged span is added as the search found it, less white space and closing marks at its edges,
+if it overlaps no pattern span. A plausibility rule of its kind can only veto it.
 
 Defined results: null and empty texts have no spans; repeated rows have equal results; null ids pass through; an empty
 table gives no rows; columns other than doc_id and text are not used by ``find_pii``, and ``mask_pii`` leaves
@@ -16,8 +17,10 @@ them as they are.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kindred.llm.tokens import groups_by_size
+from kindred.llm.worker import forget_others, give_back
 from kindred.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -251,7 +255,8 @@ class Tagger:
         trans = self.p["trans"].copy()
         outside, trans[0, 0] = float(trans[0, 0]), -np.inf
         gain = float(trans.max()) - outside
-        return ((emit[:, 1:].max(axis=1) - emit[:, 0]).max(axis=0) + gain + max(gain, 0.0)) <= 0.0
+        # A run of n other tags has n + 1 transitions instead of as many outside ones, or n or n - 1 at the window's ends.
+        return ((emit[:, 1:].max(axis=1) - emit[:, 0]).max(axis=0) + gain + abs(gain)) <= 0.0
 
     def loss_and_gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood per character of the CRF, and its gradients by back-propagation through time."""
@@ -369,32 +374,23 @@ def plausible(kind: str, text: str) -> bool:
     return 9 <= digits <= 15 and all(c in "0123456789 -.()+" for c in text)
 
 
-#: Written forms of each kind, wider than the patterns; they say where a span that the tagger found begins and ends.
-_FORMS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|\(at\)|\[at\]|\bat\b)\s?[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\bdot\b)\s?[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\s?(?:\.|\[\.\])\s?[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[\x20.-]{0,2}[0-9]){12,18}"),
-    "phone": re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){8,14}"),
-}
-#: Characters around a tagged run in which its form may reach out.
-_REACH = 24
-
-
-def settle(kind: str, text: str, a: int, b: int) -> tuple[str, int, int] | None:
-    """The plausible written form that covers at least half of a tagged run, if there is one."""
-    lo = max(0, a - _REACH)
-    for m in _FORMS[kind].finditer(text, lo, b + _REACH):
-        if 2 * (min(b, m.end()) - max(a, m.start())) >= b - a and plausible(kind, m[0]):
-            return kind, m.start(), m.end()
-    return None
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagged run without white space at its edges and marks at its end."""
+    while a < b and text[a].isspace():
+        a += 1
+    while a < b and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
+        b -= 1
+    return a, b
 
 
 def reconcile(base: list[tuple[str, int, int]], tagged: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """All pattern spans, and those tagged ones that overlap none of them; by kind, then start."""
     taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
     out = list(base)
     for kind, a, b in tagged:
-        if all(b <= s or a >= e for s, e in taken):
+        before = bisect.bisect_left(starts, b)
+        if not before or reach[before - 1] <= a:
             out.append((kind, a, b))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -408,9 +404,9 @@ def spans_of(texts: list[str | None], tagger: Tagger) -> Iterator[tuple[list, li
         tagged: list[list] = [[] for _ in own]
         for tag, a, b in tagger.tags(np.concatenate(coded), offsets):
             i = int(np.searchsorted(offsets, a, "right")) - 1
-            a, b = a - int(offsets[i]), b - int(offsets[i])
-            if (settled := settle(KINDS[tag - 1], own[i], a, b)) and settled not in tagged[i]:
-                tagged[i].append(settled)
+            a, b = trimmed(own[i], a - int(offsets[i]), b - int(offsets[i]))
+            if a < b and plausible(KINDS[tag - 1], own[i][a:b]):
+                tagged[i].append((KINDS[tag - 1], a, b))
         for t, more in zip(own, tagged, strict=True):
             base = base_spans(t)
             yield base, reconcile(base, more)
@@ -438,6 +434,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                     added.append(len(all_) - len(base))
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(joined, pa.string()), pa.array(added, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+        give_back()
 
     typed = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {typed}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
@@ -450,13 +447,14 @@ def mask_pii(docs: DataFrame, column: str = "text") -> DataFrame:
     place = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[str | None] = []
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.column(place).slice(at, 512).to_pylist()
-                for text, (_, spans) in zip(texts, spans_of(texts, tagger), strict=True):
-                    out.append(masked(text, spans) if spans else text)
-            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+        forget_others()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column(place).to_pylist()
+                out = [masked(text, spans) if spans else text for text, (_, spans) in zip(texts, spans_of(texts, tagger), strict=True)]
+                yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
