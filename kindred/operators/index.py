@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from kindred.config import LshConfig
 from kindred.functions import scalars as S
-from kindred.functions.hyperplanes import planes, srp_hashes
+from kindred.functions.hyperplanes import planes, srp_hashes, srp_margins
 from kindred.session import ship
 
 #: Up to this many probe rows the probe side is broadcast.
@@ -108,9 +108,15 @@ def capped(buckets: DataFrame, config: LshConfig, order: str = "block_id") -> Da
 
 
 def probe_rows(queries: DataFrame, config: LshConfig) -> DataFrame:
-    """(query_id, tbl, hash) of every bucket that (query_id, embedding) look into."""
+    """(query_id, tbl, hash) of every bucket that (query_id, embedding) look into: those of the lowest bits flipped, or of the bits that
+    the vector is nearest to flipping itself (``scored_probes``)."""
     ship(queries.sparkSession)
-    hashed = queries.withColumn("hashes", srp_hashes(F.col("embedding"), planes(config)))
+    normals = planes(config)
+    hashed = queries.withColumn("hashes", srp_hashes(F.col("embedding"), normals))
+    if config.scored_probes:
+        best = lambda t: S.scored_probes(F.element_at("hashes", t + 1), srp_margins(F.col("embedding"), normals, t), config.bits, config.probes + 1)
+        at = hashed.select("query_id", F.posexplode(F.array(*[F.transform(best(t), lambda p: p["hash"]) for t in range(config.tables)])).alias("tbl", "probes"))
+        return at.select("query_id", "tbl", F.explode("probes").alias("hash"))
     at = hashed.select("query_id", F.posexplode("hashes").alias("tbl", "h"))
     return at.select("query_id", "tbl", F.explode(S.probes(F.col("h"), config.bits, config.probes)).alias("hash"))
 
@@ -123,7 +129,7 @@ def candidates(probes: DataFrame, buckets: DataFrame, broadcast: bool = False) -
 
 
 def analytics(buckets: DataFrame, accesses: DataFrame | None = None) -> DataFrame:
-    """Per bucket: insertions, collisions, accesses of a log (tbl, hash), rows in the primary bucket and beyond."""
+    """Per bucket: insertions, collisions, and accesses of a log (tbl, hash)."""
     per = bucket_sizes(buckets).select("tbl", "hash", F.col("n").alias("insertions"), (F.col("n") - 1).alias("collisions"))
     if accesses is None:
         return per.withColumn("accesses", F.lit(0).cast("long"))

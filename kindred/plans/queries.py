@@ -10,10 +10,10 @@ from pyspark.sql.window import Window as W
 from kindred.config import EXTENSION_LANGUAGE, LshConfig
 from kindred.engine import CloneEngine
 from kindred.functions import scalars as S
-from kindred.functions.hyperplanes import planes, srp_hash_sql
+from kindred.functions.hyperplanes import planes, srp_hash_sql, srp_margins
 from kindred.operators import clusters as C, embed as E, index as I, search as Q
 from kindred.operators.components import components
-from kindred.session import cut
+from kindred.session import cut, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +33,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -246,11 +247,20 @@ def c34(spark, d):
     return table(spark, d, "pages").where(S.matches_globs(F.col("url"), _GLOBS, ("**7",))).select("page_id", "url")
 
 
-@query("c35_format", "SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN printf('%.1f MB', n_chars / 1048576.0::DOUBLE) WHEN n_chars >= 1024 THEN printf('%.1f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%d B', n_chars) END AS size FROM documents")
+_BYTES = "CASE WHEN n = 0 THEN '0 B' " + " ".join(f"WHEN n >= {1024**p} THEN printf('%.1f {u}', floor(n / {1024**p}.0::DOUBLE * 10 + 0.5) / 10)" for p, u in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))) + " ELSE printf('%.1f B', n::DOUBLE) END"
+
+
+@query("c35_format", f"SELECT doc_id, {_BYTES} AS size FROM (SELECT doc_id, n_chars AS n FROM documents)")
 def c35(spark, d):
     return table(spark, d, "documents").select("doc_id", S.format_bytes(F.col("n_chars")).alias("size"))
 
 
+@query("c35_duration", "SELECT event_id, CASE WHEN ms < 1000 THEN printf('%.1fms', ms) WHEN ms < 60000 THEN printf('%.2fs', ms / 1000) WHEN ms < 3600000 THEN printf('%.1fmin', ms / 60000) ELSE printf('%.1fh', ms / 3600000) END AS took FROM (SELECT event_id, (event_id * 977 + 1) % 9000000 * 1.0::DOUBLE + 0.03 AS ms FROM events)")
+def c35_duration(spark, d):
+    ms = (F.col("event_id") * 977 + 1) % 9000000 * F.lit(1.0) + F.lit(0.03)
+    return table(spark, d, "events").select("event_id", S.format_duration(ms).alias("took"))
+
+
 @query("c36_escape_html", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
 def c36(spark, d):
     return table(spark, d, "pages").select("page_id", S.escape_html(F.col("html")).alias("escaped"))
@@ -382,11 +392,11 @@ def f10(spark, d):
     return b.agg(F.count_distinct("block_id").alias("blocks"), F.count(F.lit(1)).alias("entries"), F.round(F.count(F.lit(1)) / float(LSH.tables), 6).alias("per_table"))
 
 
-_ANALYTICS = f"{_PROBED}, log AS (SELECT tbl, hash, count(*)::BIGINT AS accesses FROM probed WHERE query_id % 10 = 0 GROUP BY tbl, hash), an AS (SELECT tbl, hash, count(*)::BIGINT AS insertions, (count(*) - 1)::BIGINT AS collisions FROM buckets GROUP BY tbl, hash), full_ AS (SELECT an.*, coalesce(accesses, 0)::BIGINT AS accesses FROM an LEFT JOIN log USING (tbl, hash))"
+_ANALYTICS = f"{_PROBED}, log AS (SELECT tbl, hash, count(*)::BIGINT AS accesses FROM probed WHERE query_id % 50 = 0 GROUP BY tbl, hash), an AS (SELECT tbl, hash, count(*)::BIGINT AS insertions, (count(*) - 1)::BIGINT AS collisions FROM buckets GROUP BY tbl, hash), full_ AS (SELECT an.*, coalesce(accesses, 0)::BIGINT AS accesses FROM an LEFT JOIN log USING (tbl, hash))"
 
 
 def _analysed(spark, d) -> DataFrame:
-    log = I.probe_rows(vectors_of(spark, d).where("block_id % 10 = 0").withColumnRenamed("block_id", "query_id"), LSH)
+    log = I.probe_rows(vectors_of(spark, d).where("block_id % 50 = 0").withColumnRenamed("block_id", "query_id"), LSH)
     return I.analytics(index_of(spark, d).buckets, log).withColumn("tbl", F.col("tbl").cast("int"))
 
 
@@ -434,12 +444,12 @@ def f19(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"))
 
 
-@query("f21_latency_stats", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(n)::BIGINT AS n, min(value) AS low, max(value) AS high, max(CASE WHEN i = floor(n * 0.5) THEN value END) AS median, max(CASE WHEN i = floor(n * 0.95) THEN value END) AS p95, max(CASE WHEN i = floor(n * 0.99) THEN value END) AS p99 FROM r GROUP BY event_type")
+@query("f21_latency_stats", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(n)::BIGINT AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, max(CASE WHEN i = floor(n * 0.5) THEN value END) AS median, max(CASE WHEN i = floor(n * 0.95) THEN value END) AS p95, max(CASE WHEN i = floor(n * 0.99) THEN value END) AS p99 FROM r GROUP BY event_type")
 def f21(spark, d):
     w = W.partitionBy("event_type")
     r = table(spark, d, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
     at = lambda q: F.max(F.when(F.col("i") == F.floor(F.col("n") * F.lit(q)), F.col("value")))
-    return r.groupBy("event_type").agg(F.max("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return r.groupBy("event_type").agg(F.max("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 @query("f22_totals", "SELECT count(*)::BIGINT AS files, sum(octet_length(encode(html)))::BIGINT AS bytes FROM pages")
@@ -489,9 +499,9 @@ def h05(spark, d):
     return I.hot_spots(_analysed(spark, d))
 
 
-@query("i02_candidate_union", f"WITH {_PROBED} SELECT DISTINCT query_id, b.block_id FROM probed JOIN buckets b USING (tbl, hash) WHERE query_id % 100 = 1")
+@query("i02_candidate_union", f"WITH {_PROBED} SELECT DISTINCT query_id, b.block_id FROM probed JOIN buckets b USING (tbl, hash) WHERE query_id % 50 = 0")
 def i02(spark, d):
-    own = I.probe_rows(vectors_of(spark, d).where("block_id % 100 = 1").withColumnRenamed("block_id", "query_id"), LSH)
+    own = I.probe_rows(vectors_of(spark, d).where("block_id % 50 = 0").withColumnRenamed("block_id", "query_id"), LSH)
     return own.join(index_of(spark, d).buckets, ["tbl", "hash"]).select("query_id", "block_id").distinct()
 
 
@@ -584,9 +594,9 @@ def d15(spark, d, found_by):
     return members.join(wanted, "block_id", "left_semi").select("cluster_id", "block_id")
 
 
-@query("e03_single_table", f"WITH {_PROBED} SELECT DISTINCT query_id, b.block_id FROM probed p JOIN buckets b USING (tbl, hash) WHERE tbl = 3 AND query_id % 25 = 0")
+@query("e03_single_table", f"WITH {_PROBED} SELECT DISTINCT query_id, b.block_id FROM probed p JOIN buckets b USING (tbl, hash) WHERE tbl = 3 AND query_id % 50 = 0")
 def e03(spark, d):
-    own = I.probe_rows(vectors_of(spark, d).where("block_id % 25 = 0").withColumnRenamed("block_id", "query_id"), LSH).where("tbl = 3")
+    own = I.probe_rows(vectors_of(spark, d).where("block_id % 50 = 0").withColumnRenamed("block_id", "query_id"), LSH).where("tbl = 3")
     return I.candidates(own, index_of(spark, d).buckets.where("tbl = 3")).select("query_id", "block_id")
 
 
@@ -614,6 +624,64 @@ def h07(spark, d):
     return rows.select("row", "source_id", "target_id", F.round("similarity", 6).alias("similarity"))
 
 
+_QUERY_SET = "query_id % 50 = 0"
+
+
+@query("d06_query_clones", f"WITH {_VERIFIED}, w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, block_id) AS wide FROM verified WHERE {_QUERY_SET} AND table_matches / 20.0 >= 0.1 AND similarity >= 0.2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, block_id) AS place FROM w WHERE wide <= 10 AND similarity >= 0.25 AND similarity < 0.85) SELECT query_id, block_id, table_matches, round(similarity, 6) AS similarity, 'type-4' AS clone_type, place::INT AS place FROM r WHERE place <= 5")
+def d06(spark, d):
+    own = vectors_of(spark, d).where("block_id % 50 = 0").withColumnRenamed("block_id", "query_id")
+    found = Q.query_clones(index_of(spark, d), own, 5, 0.25, ("type-4",))
+    return found.select("query_id", "block_id", "table_matches", F.round("similarity", 6).alias("similarity"), "clone_type", "place")
+
+
+@query("d09_query_clones_by_language", f"WITH {_VERIFIED}, w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, block_id) AS wide FROM verified WHERE {_QUERY_SET} AND table_matches / 20.0 >= 0.1 AND similarity >= 0.2), r AS (SELECT w.*, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, block_id) AS place FROM w JOIN embeddings v ON v.vec_id = block_id WHERE wide <= 10 AND similarity >= 0.25 AND label IN (1, 2, 3, 4) AND label <> 2) SELECT query_id, block_id, round(similarity, 6) AS similarity, place::INT AS place FROM r WHERE place <= 5")
+def d09(spark, d):
+    v = table(spark, d, "embeddings")
+    blocks = v.select(F.col("vec_id").alias("block_id"), F.col("label").cast("string").alias("file_path"), F.concat(F.lit("l"), "label").alias("language"))
+    own = vectors_of(spark, d).where("block_id % 50 = 0").withColumnRenamed("block_id", "query_id")
+    found = Q.query_clones(I.CloneIndex.build(vectors_of(spark, d), LSH, blocks), own, 5, 0.25, exclude_path="2", languages=("l1", "l2", "l3", "l4"))
+    return found.select("query_id", "block_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query("c14_idf_plain", f"WITH {_WORDS} SELECT term, round(ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) + 1, 9) AS idf FROM tf GROUP BY term")
+def c14_plain(spark, d):
+    n = table(spark, d, "documents").agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
+    df = E.document_frequencies(E.term_frequencies(words_of(spark, d), 1))
+    return df.crossJoin(F.broadcast(n)).select("term", F.round(S.idf_plain(F.col("n_docs"), F.col("df")), 9).alias("idf"))
+
+
+@query("c15_projected_size", "SELECT doc_id AS block_id, 1.0::DOUBLE AS size FROM documents WHERE len(list_filter(string_split(lower(text), ' '), lambda w: w <> '')) > 0")
+def c15(spark, d):
+    """Random projections of TF-IDF weights have unit length; their values are held against brute force in tests."""
+    return E.embed(words_of(spark, d), 64, n=1).select("block_id", F.round(S.norm(F.col("embedding")), 5).alias("size"))
+
+
+@query("c18_mock_vectors", "SELECT count(DISTINCT text)::BIGINT AS vectors, 1.0::DOUBLE AS low, 1.0::DOUBLE AS high FROM documents")
+def c18(spark, d):
+    """Equal texts, equal vectors of unit length."""
+    v = E.mock_embed(blocks_of(spark, d), 64).withColumn("size", S.norm(F.col("embedding")))
+    return v.agg(F.count_distinct("embedding").alias("vectors"), F.round(F.min("size"), 5).alias("low"), F.round(F.max("size"), 5).alias("high"))
+
+
+@query("c29_scored_probes", f"WITH {_HASHED}, h AS (SELECT block_id, hash FROM buckets WHERE tbl = 0), m AS (SELECT vec_id AS block_id, bit, abs(list_dot_product(v, n)) AS away FROM e, planes WHERE tbl = 0), c AS (SELECT block_id, hash, 1.0::DOUBLE AS score FROM h UNION ALL SELECT block_id, xor(hash, (1 << bit)::BIGINT), exp(-away) FROM h JOIN m USING (block_id)), r AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY score DESC, hash) AS place FROM c) SELECT block_id, hash, round(score, 6) AS score FROM r WHERE place <= 5")
+def c29(spark, d):
+    v = index_of(spark, d).vectors
+    best = S.scored_probes(F.element_at("hashes", 1), srp_margins(F.col("embedding"), _PLANES, 0), LSH.bits, 5)
+    return v.select("block_id", F.explode(best).alias("best")).select("block_id", "best.hash", F.round("best.score", 6).alias("score"))
+
+
+@query("c33_relative_path", "SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 8) ELSE url END AS path FROM pages")
+def c33_relative(spark, d):
+    return table(spark, d, "pages").select("page_id", S.relative_path(F.col("url"), "https:/").alias("path"))
+
+
+@query("c37_ensemble_max_average", "SELECT vec_id, round(greatest(v[1], v[64]), 6) AS largest, round(0.5::DOUBLE * v[1] + 0.5::DOUBLE * v[64], 6) AS mean FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+def c37_more(spark, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    first = lambda how: F.round(F.element_at(S.ensemble([v, F.reverse(v)], how), 1), 6)
+    return table(spark, d, "embeddings").select("vec_id", first("max").alias("largest"), first("average").alias("mean"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: vectors to hyperplane hashes, buckets, a self-join on them, verification and the best pairs."""
     pairs = Q.clone_pairs(index_of(spark, sf_dir), 0.35, 50, 4 / LSH.tables)

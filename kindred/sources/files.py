@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,44 +29,115 @@ def from_text(spark: SparkSession, code: str, path: str = "query.ts", language:
     return df.withColumn("language", F.coalesce("language", S.language_of(F.col("path"), "typescript")))
 
 
-_NAME = r"([A-Za-z_$][\w$]*)"
+@dataclass(frozen=True)
+class Grammar:
+    """How declarations that open a block read in a language, after their modifiers.
+
+    ``keywords`` open a block of a kind and are followed by its name. ``binders`` give a name to a function value. ``bodies`` are the
+    words after the name on which the kind of a ``type`` declaration depends. ``callables`` says what a name with a parameter
+    list needs to be a block without a keyword: "body" (a brace or a type after the list), "modifier", or "type" (one before the name,
+    and a brace).
+    """
+
+    keywords: dict[str, str]
+    modifiers: frozenset[str] = frozenset()
+    binders: frozenset[str] = frozenset()
+    bodies: dict[str, str] = field(default_factory=dict)
+    callables: str = ""
 
 
-def _starts(*rules: tuple[str, str]) -> list[tuple[re.Pattern, str]]:
-    return [(re.compile(r"\s*" + pattern), kind) for pattern, kind in rules]
+def _grammar(keywords: str, modifiers: str = "", binders: str = "", bodies: str = "", callables: str = "") -> Grammar:
+    table = lambda text: dict(pair.split(":") for pair in text.split())
+    return Grammar(table(keywords), frozenset(modifiers.split()), frozenset(binders.split()), table(bodies), callables)
 
 
-_COMMON = (rf"(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+{_NAME}", "function"), (rf"(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+{_NAME}", "class")
-_SCRIPT = _starts(
-    *_COMMON,
-    (rf"(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s*)?\(", "function"),
-    (rf"(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s+)?function", "function"),
-    (rf"{_NAME}\s*[=:]\s*(?:async\s*)?\([^)]*\)\s*=>", "function"),
-    (rf"(?:(?:public|private|protected)\s+)?(?:static\s+)?(?:async\s+)?{_NAME}\s*\(", "method"),
-    (rf"interface\s+{_NAME}", "interface"),
-    (rf"type\s+{_NAME}", "type"),
-)
-_MANAGED = _starts(*_COMMON, (rf"(?:public|private|protected)\s+(?:static\s+)?(?:\w+\s+)?{_NAME}\s*\(", "method"), (rf"(?:public\s+)?interface\s+{_NAME}", "interface"))
-_NATIVE = _starts(*_COMMON, (rf"(?:\w+[\s*]+)+{_NAME}\s*\([^)]*\)\s*\{{", "function"), (rf"struct\s+{_NAME}", "struct"))
-#: Start-of-block patterns of each language, tried in order at the beginning of a line.
-BLOCK_STARTS: dict[str, list[tuple[re.Pattern, str]]] = {
+_SCRIPT = _grammar("function:function class:class interface:interface type:type", "export default declare abstract async public private protected static readonly override get set", "const let var", callables="body")
+_MANAGED = _grammar("class:class interface:interface", "public private protected internal static final abstract sealed virtual override synchronized native async partial", callables="modifier")
+_NATIVE = _grammar("class:class struct:struct", "static inline extern const constexpr virtual explicit typedef", callables="type")
+GRAMMARS: dict[str, Grammar] = {
     "typescript": _SCRIPT,
     "javascript": _SCRIPT,
-    "python": _starts((rf"def\s+{_NAME}", "function"), (rf"async\s+def\s+{_NAME}", "function"), (rf"class\s+{_NAME}", "class")),
+    "python": _grammar("def:function class:class", "async"),
     "java": _MANAGED,
     "csharp": _MANAGED,
-    "go": _starts((rf"func\s+(?:\([^)]*\)\s*)?{_NAME}", "function"), (rf"type\s+{_NAME}\s+struct", "struct"), (rf"type\s+{_NAME}\s+interface", "interface")),
-    "rust": _starts((rf"(?:pub\s+)?(?:async\s+)?fn\s+{_NAME}", "function"), (rf"(?:pub\s+)?struct\s+{_NAME}", "struct"), (rf"(?:pub\s+)?trait\s+{_NAME}", "trait"), (rf"impl(?:<[^>]*>)?\s+{_NAME}", "impl")),
+    "go": _grammar("func:function type:", bodies="struct:struct interface:interface"),
+    "rust": _grammar("fn:function struct:struct trait:trait impl:impl", "pub async unsafe const extern default"),
     "c": _NATIVE,
     "cpp": _NATIVE,
 }
-_DEFAULT = _starts(*_COMMON)
+_DEFAULT = _grammar("function:function class:class", "export default async abstract")
+#: Words that are followed by brackets but name nothing.
+_CONTROL = frozenset("if else for foreach while do switch catch return throw new await yield sizeof typeof using lock fixed synchronized with when match super this function".split())
+_PART = re.compile(r"[^\W\d][\w$]*|\$[\w$]*|=>|->|::|\S")
+_CLOSING = {"(": ")", "<": ">", "[": "]"}
+#: What braces may not be counted in: strings and comments, by the marks that begin a comment.
+_QUOTED = r"""\"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"""
+_HIDDEN = {
+    "python": re.compile(r"""\"\"\".*?\"\"\"|\'\'\'.*?\'\'\'|#[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S),
+    "rust": re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\[^\n]+?|[^'\\\n])'""", re.S),
+}
+_HIDDEN_ELSE = re.compile(rf"//[^\n]*|/\*.*?\*/|{_QUOTED}", re.S)
+
+
+def code_lines(source: str, language: str) -> list[str]:
+    """The source's lines with strings and comments blanked out, so that columns and line numbers stay."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    return _HIDDEN.get(language, _HIDDEN_ELSE).sub(blank, source).split("\n")
 
 
-def _opening(line: str, language: str) -> tuple[str | None, str] | None:
-    for pattern, kind in BLOCK_STARTS.get(language, _DEFAULT):
-        if m := pattern.match(line):
-            return m[1], kind
+def _is_name(part: str) -> bool:
+    return part[0].isalpha() or part[0] in "_$"
+
+
+def _after_group(parts: list[str], at: int) -> int:
+    """The place after the bracket group that begins at ``at``, or ``at`` itself; the line's end where it isn't closed."""
+    if at >= len(parts) or parts[at] not in _CLOSING:
+        return at
+    opens, closes, depth = parts[at], _CLOSING[parts[at]], 0
+    for i in range(at, len(parts)):
+        depth += (parts[i] == opens) - (parts[i] == closes)
+        if not depth:
+            return i + 1
+    return len(parts)
+
+
+def opening(line: str, grammar: Grammar) -> tuple[str | None, str] | None:
+    """(name, kind) of the block that a line of code opens, if it opens one."""
+    parts = _PART.findall(line)
+    at = 0
+    while at < len(parts) and parts[at] in grammar.modifiers:
+        at = _after_group(parts, at + 1) if at + 1 < len(parts) and parts[at + 1] == "(" and grammar.callables == "" else at + 1
+    marked, parts = at > 0, parts[at:]
+    if not parts:
+        return None
+    if parts[0] in grammar.keywords:
+        at = _after_group(parts, 1 + (parts[1:2] == ["*"]))
+        name = parts[at] if at < len(parts) and _is_name(parts[at]) else None
+        kind = grammar.keywords[parts[0]] or grammar.bodies.get(parts[at + 1] if at + 1 < len(parts) else "", "")
+        return (name, kind) if kind else None
+    if not _is_name(parts[0]):
+        return None
+    bound = parts[0] in grammar.binders
+    if grammar.binders and (bound or parts[1:2] in (["="], [":"])):
+        sign = next((i for i, p in enumerate(parts) if p == "=" or (p == ":" and not bound)), None)
+        value = parts[sign + 1 :] if sign else []
+        value = value[1:] if value[:1] == ["async"] else value
+        if value and (value[0] == "function" or (value[0] in "(<" and (bound or "=>" in value)) or value[1:2] == ["=>"]):
+            return parts[1 if bound else 0], "function"
+        return None
+    if "(" not in parts or not grammar.callables:
+        return None
+    bracket = parts.index("(")
+    name, before = parts[bracket - 1], parts[: bracket - 1]
+    if not bracket or not _is_name(name) or name in _CONTROL or parts[0] in _CONTROL:
+        return None
+    after = parts[_after_group(parts, bracket) :]
+    if grammar.callables == "body" and not before and after[:1] in (["{"], [":"]):
+        return name, "method"
+    if grammar.callables == "modifier" and marked and after[:1] != [";"]:
+        return name, "method"
+    if grammar.callables == "type" and before and "{" in after and all(_is_name(p) or p in ("*", "&", "::", "<", ">", ",") for p in before):
+        return name, "function"
     return None
 
 
@@ -74,30 +146,30 @@ def _indent(line: str) -> int:
 
 
 def line_blocks(source: str, language: str, min_chars: int = 20) -> Iterator[dict]:
-    """Outermost blocks by line patterns: Python's by indentation, other languages' by counting braces.
+    """Outermost blocks by their opening lines: Python's by indentation, other languages' by counting braces outside strings and comments.
 
     A block that opens and closes on its line stands alone; any other needs two lines. What is nested in a block is
     part of it.
     """
-    lines = source.split("\n")
+    lines, code, grammar = source.split("\n"), code_lines(source, language), GRAMMARS.get(language, _DEFAULT)
     at = 0
     while at < len(lines):
-        opened = _opening(lines[at], language)
+        opened = opening(code[at], grammar)
         if not opened:
             at += 1
             continue
         first = at
         if language == "python":
             end = first + 1
-            while end < len(lines) and (not lines[end].strip() or _indent(lines[end]) > _indent(lines[first])):
+            while end < len(lines) and (not code[end].strip() or _indent(code[end]) > _indent(code[first])):
                 end += 1
             at = end
         else:
-            depth = lines[first].count("{") - lines[first].count("}")
+            depth = code[first].count("{") - code[first].count("}")
             end = first + 1
-            alone = depth <= 0 and "{" in lines[first] and "}" in lines[first]
+            alone = depth <= 0 and "{" in code[first] and "}" in code[first]
             while not alone and end < len(lines):
-                depth += lines[end].count("{") - lines[end].count("}")
+                depth += code[end].count("{") - code[end].count("}")
                 end += 1
                 if depth <= 0:
                     break

@@ -42,6 +42,65 @@ def test_line_blocks():
     assert [b["name"] for b in files_.line_blocks("func (s *S) Run(x int) int {\n  return x + 1\n}\ntype T struct {\n  a, b, c int64\n}", "go")] == ["Run", "T"]
 
 
+@pytest.mark.parametrize(
+    ("language", "line", "want"),
+    [
+        ("typescript", "export default async function load(x) {", ("load", "function")),
+        ("typescript", "function* steps() {", ("steps", "function")),
+        ("typescript", "export const run = async (x: number) => {", ("run", "function")),
+        ("typescript", "  private static async fetchAll(x) {", ("fetchAll", "method")),
+        ("typescript", "  size(): number {", ("size", "method")),
+        ("typescript", "if (x) {", None),
+        ("typescript", "return go(x);", None),
+        ("typescript", "run(x);", None),
+        ("typescript", "interface Shape {", ("Shape", "interface")),
+        ("typescript", "const limit = 5;", None),
+        ("python", "async def fetch(x):", ("fetch", "function")),
+        ("python", "value = call(x)", None),
+        ("java", "public static int size(List<String> x) {", ("size", "method")),
+        ("java", "abstract class Base {", ("Base", "class")),
+        ("go", "func (s *Set) Has(x int) bool {", ("Has", "function")),
+        ("go", "type Row struct {", ("Row", "struct")),
+        ("go", "type Id int", None),
+        ("rust", "pub(crate) async fn run<T>(x: T) {", ("run", "function")),
+        ("rust", "impl<T> Set<T> {", ("Set", "impl")),
+        ("c", "static int add(int a, int b) {", ("add", "function")),
+        ("c", "struct node {", ("node", "struct")),
+        ("c", "add(a, b);", None),
+    ],
+)
+def test_openings(language, line, want):
+    assert files_.opening(line, files_.GRAMMARS[language]) == want
+
+
+def test_braces_in_strings_and_comments_do_not_count():
+    code = "function open() {\n  const a = '}}}'; // }\n  /* } */ return `}\n}`;\n}\nfunction after() {\n  return '{';\n}\n"
+    assert [(b["name"], b["start_line"], b["end_line"]) for b in files_.line_blocks(code, "typescript")] == [("open", 1, 5), ("after", 6, 8)]
+    text = 'def f():\n    """\nnot a block\n    """\n    return 1\n\ndef g():\n    return "#"\n'
+    assert [(b["name"], b["start_line"]) for b in files_.line_blocks(text, "python")] == [("f", 1), ("g", 7)]
+
+
+def test_sizes_and_durations(spark):
+    sizes = spark.createDataFrame([(0,), (512,), (1024,), (1280,), (3 * 1024**4,)], "n long").select(S.format_bytes(F.col("n"))).collect()
+    assert [r[0] for r in sizes] == ["0 B", "512.0 B", "1.0 KB", "1.3 KB", "3.0 TB"]
+    took = spark.createDataFrame([(12.34,), (1500.0,), (90000.0,), (5400000.0,)], "ms double").select(S.format_duration(F.col("ms"))).collect()
+    assert [r[0] for r in took] == ["12.3ms", "1.50s", "1.5min", "1.5h"]
+
+
+def test_scored_probes_take_the_nearest_bits(spark):
+    config = LshConfig(tables=2, bits=5, dimension=8, probes=2, scored_probes=True)
+    x = np.random.default_rng(4).standard_normal((6, 8))
+    rows = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "query_id long, embedding array<double>")
+    got = {(r.query_id, r.tbl, r.hash) for r in I.probe_rows(rows, config).collect()}
+    want = set()
+    for i, v in enumerate(x):
+        for t, p in enumerate(planes(config)):
+            m = p.astype(float) @ v
+            h = sum(1 << b for b in range(5) if m[b] >= 0)
+            want |= {(i, t, h)} | {(i, t, h ^ (1 << int(b))) for b in np.argsort(np.abs(m))[:2]}
+    assert got == want
+
+
 def test_syntax_blocks_and_errors(files):
     rows = files_.parse_files(files.union(files.sparkSession.createDataFrame([("e.py", "def (", "python")], files.schema)), "syntax")
     assert [r.path for r in files_.parse_errors(rows).collect()] == ["e.py"]
