@@ -13,7 +13,11 @@ from kindred.session import cut, delete_path, scratch_path
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is identified; rejected ones go."""
+    """Rows whose language is identified; rejected ones go.
+
+    Null and empty texts and texts without a letter are rejected; null ids and languages are kept and only not learnt from; repeated
+    rows share their fate; an empty table gives no rows; other columns, whatever their names, pass through.
+    """
     return language.keep_known(docs)
 
 
@@ -27,7 +31,8 @@ def row_key() -> Column:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the first by id, then text.
 
-    Rows equal in id and text become one; different texts under one id, or under none, are documents of their own.
+    Rows equal in id and text become one; different texts under one id, or under none, are documents of their own. Null, empty and
+    blank texts are near nothing and stay; an empty table gives no rows; other columns, whatever their names, pass through.
     """
     keyed = docs.withColumn("__kindred_key", row_key())
     near = neardup.near_duplicates(keyed.select(F.col("__kindred_key").alias("doc_id"), "text"))
@@ -38,19 +43,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row, with personal data in its text replaced by the kind's name."""
+    """Every row, with personal data in its text replaced by the kind's name.
+
+    Null and empty texts stay as they are; repeated rows have equal results; an empty table gives no rows; other columns, whatever
+    their names, pass through.
+    """
     return pii.mask_pii(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or as whole copies."""
+    """Each document as often as the mix takes it: not at all, once, or as whole copies.
+
+    Rows of one id are taken alike, as often as any of them; null ids count as one id, and a null source as a source. Null and empty
+    texts have no words. An empty table gives no rows; other columns, whatever their names, pass through.
+    """
     copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("__kindred_mixed_id")).agg(F.max("copies").alias("__kindred_copies")).where("__kindred_copies > 0")
     taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__kindred_mixed_id")))
     return taken.withColumn("__kindred_nth", F.explode(F.sequence(F.lit(1), F.col("__kindred_copies")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, one row per piece."""
+    """Sequences of at most 2048 tokens, one row per piece.
+
+    A null or empty text is the end token alone; null ids are kept; repeated rows are packed each; an empty table gives no rows;
+    other columns are not used.
+    """
     return packing.pack(docs)
 
 

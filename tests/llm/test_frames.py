@@ -1,5 +1,6 @@
 """Operators over small tables with nulls, ties, repeats, odd texts and clashing columns, against brute force."""
 
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -130,6 +131,9 @@ def test_scans(odd, empty):
     masked = {r.doc_id: r for r in pii.mask_pii(odd).collect()}
     assert masked[7].text.startswith("mail <EMAIL> from <IP>") and masked[4].text is None and masked[1].text == BASE and masked[7].row == "y"
     secret = {r.doc_id: r for r in secrets.find_secrets(odd).collect()}
+    sha = lambda spans: hashlib.sha256(spans.encode()).hexdigest()
+    assert found[7].base_sha256 == sha("email:5:14,ip:20:28") and found[5].base_sha256 == sha("")
+    assert secret[7].base_sha256 == sha("assign:30:49") and secret[1].base_sha256 == sha("")
     assert secret[7].n_assign == 1 and secret[7].spans == "assign:30:49" and secret[4].spans == ""
     assert pii.find_pii(empty).count() == secrets.find_secrets(empty).count() == pii.mask_pii(empty).count() == 0
 
@@ -141,6 +145,11 @@ def test_media(odd, empty):
         text = next(x[1] for x in ROWS if x[0] == r.doc_id)
         payload = media.pad_payload((text or "").encode())
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len((text or "").encode()), len(payload), zlib.crc32(payload[-32:]))
+        wav = media.write_wav(payload)
+        mels, energy = media.log_mel(payload)
+        levels = np.round(mels * 64.0).astype("<i2").tobytes()
+        assert (r.payload_sha256, r.media_bytes, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), len(wav), hashlib.sha256(wav).hexdigest())
+        assert r.feature.startswith(f"{len(mels)}x{media.MELS};") and r.feature.split(";")[3] == str(len(media.segments(energy))) and r.feature.endswith(hashlib.sha256(levels).hexdigest()[:32])
         by_text[text or ""].add((r.payload_sha256, r.media_sha256, r.feature))
     assert all(len(v) == 1 for v in by_text.values()) and len(rows) == len(ROWS)
     assert media.media_digests(media.audio_features(empty)).count() == 0
@@ -290,6 +299,23 @@ def test_pipeline(spark):
     assert set(ids) == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    rows = {name: stage(spark, odd, SF).collect() for name, stage in corpus_pipeline.STAGES}
+    texts = lambda name: sorted((r.doc_id, r.text) for r in rows[name] if r.doc_id is not None)
+    want = sorted((r[0], r[1]) for r in ROWS if r[0] is not None)
+    assert all(r.text and r.text.strip() for r in rows["language"]) and all((r.row, r["size"]) == ("y", 7) for r in rows["language"])
+    near = texts("near duplicates")
+    assert [i for i, _ in near] == [1, 4, 5, 6, 7, 8, 9] and set(near) <= set(want)  # 2, 3 and null are near 1; 10 is equal to 8
+    assert len(rows["personal data"]) == len(ROWS) and next(r.text for r in rows["personal data"] if r.doc_id == 7).startswith("mail <EMAIL> from <IP>")
+    assert set(texts("source mix")) <= set(want) and {r.row for r in rows["source mix"]} == {"y"}
+    assert sorted((r.doc_id for r in rows["packing"] if r.piece == 0), key=repr) == sorted((r[0] for r in ROWS), key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, SF)
+        assert none.count() == 0 and (name == "packing" or none.columns == odd.columns), name
+
+
 def test_pipeline_keeps_texts_of_null_and_repeated_ids(spark):
     import corpus_pipeline
 
