@@ -64,3 +64,17 @@ def srp_hash_sql(vector: str, normals: np.ndarray, table: int) -> Column:
         value = F.aggregate(F.zip_with(F.col(vector), plane_, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
         total = total + F.when(value >= 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
     return total
+
+
+#: Planes of a table count as orthogonal below this greatest |cosine|.
+ORTHOGONAL = 0.1
+
+
+def plane_quality(normals: np.ndarray) -> list[tuple[int, float, float, float, bool]]:
+    """(table, mean and greatest |cosine| of two of its planes, diversity, orthogonal); a table of one plane has (0, 0, 1, true)."""
+    out = []
+    for t, own in enumerate(normals.astype(np.float64)):
+        between = np.abs((own @ own.T)[np.triu_indices(len(own), 1)])
+        mean, most = (float(between.mean()), float(between.max())) if len(between) else (0.0, 0.0)
+        out.append((t, mean, most, 1.0 - mean, most < ORTHOGONAL))
+    return out

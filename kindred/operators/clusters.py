@@ -51,6 +51,12 @@ def clones_by_file(members: DataFrame, blocks: DataFrame) -> DataFrame:
     return members.join(blocks.select("block_id", "file_path"), "block_id").groupBy("file_path").agg(F.count(F.lit(1)).alias("clones")).orderBy(F.desc("clones"), "file_path")
 
 
+def clones_at(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(file_path, start_line, end_line, clones): how many cloned blocks lie at each place of a file."""
+    place = ["file_path", "start_line", "end_line"]
+    return members.join(blocks.select("block_id", *place), "block_id").groupBy(*place).agg(F.count(F.lit(1)).alias("clones"))
+
+
 def ci_gate(summary: DataFrame, max_pairs: int, max_percent: float) -> DataFrame:
     """Whether a summary is within both limits, with the ratio in percent."""
     ratio = F.col("clone_pairs") / F.greatest(F.col("blocks"), F.lit(1)) * 100

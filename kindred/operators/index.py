@@ -92,6 +92,13 @@ class CloneIndex:
             F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.avg("n").alias("avg_size"), F.coalesce(F.sum(F.greatest(F.col("n") - c.bucket_rows, F.lit(0))), F.lit(0)).alias("overflow_entries"),
         )
 
+    def occupancy(self) -> DataFrame:
+        """One row: buckets, entries of a table and of a bucket on average; both are 0 for an empty index."""
+        tables = float(self.config.tables)
+        sums = bucket_sizes(self.buckets).agg(F.count(F.lit(1)).alias("total_buckets"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_entries"))
+        of_table = F.col("total_entries") / tables
+        return sums.select("total_buckets", of_table.alias("load_factor"), (of_table / F.greatest(F.col("total_buckets") / tables, F.lit(1.0))).alias("avg_bucket_size"))
+
 
 def bucket_rows(hashed: DataFrame) -> DataFrame:
     return hashed.select("block_id", F.posexplode("hashes").alias("tbl", "hash")).select("tbl", "hash", "block_id")
@@ -101,6 +108,12 @@ def bucket_sizes(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("tbl", "hash").agg(F.count(F.lit(1)).alias("n"))
 
 
+def bucket_fill(buckets: DataFrame, config: LshConfig) -> DataFrame:
+    """Per bucket: the rows that its primary bucket holds, and those beyond it, none left out."""
+    primary = F.least(F.col("n"), F.lit(config.bucket_rows))
+    return bucket_sizes(buckets).select("tbl", "hash", primary.alias("primary_rows"), (F.col("n") - primary).alias("overflow_rows"))
+
+
 def capped(buckets: DataFrame, config: LshConfig, order: str = "block_id") -> DataFrame:
     """The first rows of each bucket by ``order``, as a store with a primary bucket and overflow buckets would keep; an explicit opt-in, since it loses candidates."""
     most = config.bucket_rows * (1 + config.overflow_buckets)

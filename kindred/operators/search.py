@@ -29,7 +29,10 @@ def query(index: CloneIndex, queries: DataFrame, k: int = 50, min_similarity: fl
 
 
 def query_clones(index: CloneIndex, queries: DataFrame, k: int = 100, min_similarity: float = 0.8, types: tuple[str, ...] = (), exclude_path: str | None = None, languages: tuple[str, ...] = ()) -> DataFrame:
-    """Two-stage query: twice as many results at 0.8 of the threshold, then the threshold, types, paths and languages, then k."""
+    """Two-stage query: twice as many results at 0.8 of the threshold, then the threshold, types, paths and languages, then k.
+
+    ``total_matches`` is a query's number of results before the last limit.
+    """
     wide = query(index, queries, 2 * k, 0.8 * min_similarity).where(F.col("similarity") >= min_similarity).withColumn("clone_type", S.clone_type(F.col("similarity")))
     if types:
         wide = wide.where(F.col("clone_type").isin(*types))
@@ -38,6 +41,7 @@ def query_clones(index: CloneIndex, queries: DataFrame, k: int = 100, min_simila
         wide = wide.where(F.col("file_path") != exclude_path) if exclude_path is not None else wide
         wide = wide.where(F.col("language").isin(*languages)) if languages else wide
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "block_id")
+    wide = wide.withColumn("total_matches", F.count(F.lit(1)).over(W.partitionBy("query_id")))
     return wide.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 from kindred.config import EXTENSION_LANGUAGE, LshConfig
 from kindred.engine import CloneEngine
 from kindred.functions import scalars as S
-from kindred.functions.hyperplanes import planes, srp_hash_sql, srp_margins
+from kindred.functions.hyperplanes import plane_quality, planes, srp_hash_sql, srp_margins
 from kindred.operators import clusters as C, embed as E, index as I, search as Q
 from kindred.operators.components import components
 from kindred.session import cut, ship
@@ -682,6 +682,34 @@ def c37_more(spark, d):
     return table(spark, d, "embeddings").select("vec_id", first("max").alias("largest"), first("average").alias("mean"))
 
 
+@query("f11_index_load", f"WITH {_HASHED}, s AS (SELECT tbl, hash, count(*) AS n FROM buckets GROUP BY tbl, hash) SELECT count(*)::BIGINT AS total_buckets, round(sum(n) / 20.0::DOUBLE, 6) AS load_factor, round((sum(n) / 20.0::DOUBLE) / greatest(count(*) / 20.0::DOUBLE, 1), 6) AS avg_bucket_size FROM s")
+def f11(spark, d):
+    return index_of(spark, d).occupancy().select("total_buckets", F.round("load_factor", 6).alias("load_factor"), F.round("avg_bucket_size", 6).alias("avg_bucket_size"))
+
+
+@query("f12_bucket_fill", f"WITH {_HASHED}, s AS (SELECT tbl, hash, count(*) AS n FROM buckets GROUP BY tbl, hash) SELECT tbl, hash, least(n, 2)::BIGINT AS primary_rows, greatest(n - 2, 0)::BIGINT AS overflow_rows FROM s")
+def f12_fill(spark, d):
+    return I.bucket_fill(index_of(spark, d).buckets.withColumn("tbl", F.col("tbl").cast("int")), LshConfig(bucket_rows=2))
+
+
+@query("f15_clones_at_place_exact_copies", f"WITH {_COPIES} SELECT c.file_path, 1 AS start_line, n_chars::INT AS end_line, count(*)::BIGINT AS clones FROM copies c JOIN documents ON doc_id = c.block_id WHERE size > 1 GROUP BY c.file_path, n_chars")
+def f15_place(spark, d):
+    blocks, members, _ = copy_clusters(spark, d)
+    return C.clones_at(members, blocks.withColumn("start_line", F.lit(1)).withColumn("end_line", F.col("n_chars").cast("int")))
+
+
+@query("f20_plane_quality", f"WITH planes(tbl, bit, n) AS (VALUES {_PLANE_ROWS}), c AS (SELECT a.tbl, abs(list_dot_product(a.n, b.n)) AS x FROM planes a JOIN planes b ON a.tbl = b.tbl AND a.bit < b.bit) SELECT tbl::INT AS tbl, round(avg(x), 6) AS mean_corr, round(max(x), 6) AS max_corr, round(1 - avg(x), 6) AS diversity, max(x) < 0.1 AS orthogonal FROM c GROUP BY tbl")
+def f20(spark, d):
+    made = spark.createDataFrame(plane_quality(_PLANES), "tbl int, mean_corr double, max_corr double, diversity double, orthogonal boolean")
+    return made.select("tbl", *(F.round(c, 6).alias(c) for c in ("mean_corr", "max_corr", "diversity")), "orthogonal")
+
+
+@query("h02_total_matches", f"WITH {_VERIFIED}, w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, block_id) AS wide FROM verified WHERE {_QUERY_SET} AND table_matches / 20.0 >= 0.1 AND similarity >= 0.2) SELECT query_id, count(*)::BIGINT AS total_matches FROM w WHERE wide <= 10 AND similarity >= 0.25 GROUP BY query_id")
+def h02(spark, d):
+    own = vectors_of(spark, d).where("block_id % 50 = 0").withColumnRenamed("block_id", "query_id")
+    return Q.query_clones(index_of(spark, d), own, 5, 0.25).where("place = 1").select("query_id", "total_matches")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: vectors to hyperplane hashes, buckets, a self-join on them, verification and the best pairs."""
     pairs = Q.clone_pairs(index_of(spark, sf_dir), 0.35, 50, 4 / LSH.tables)

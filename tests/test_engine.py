@@ -8,9 +8,9 @@ from kindred.__main__ import main
 from kindred.config import EngineConfig, LshConfig
 from kindred.engine import CloneEngine
 from kindred.functions import scalars as S
-from kindred.functions.hyperplanes import planes, srp_hashes, srp_margins
+from kindred.functions.hyperplanes import plane_quality, planes, srp_hashes, srp_margins
 from kindred.functions.tokenizer import split_identifier, tokenize
-from kindred.operators import embed as E, index as I, search as Q
+from kindred.operators import clusters as C, embed as E, index as I, search as Q
 from kindred.operators.components import components
 from kindred.sources import files as files_
 from kindred.streaming import ingest
@@ -277,3 +277,25 @@ def test_clusters_take_all_partners(spark):
     assert 0.5 < between < 0.99
     clusters, _ = e.clusters(0.5)
     assert [(r.cluster_id, r.size) for r in clusters.collect()] == [("a00", 120)]
+
+
+def test_plane_quality_of_one_plane_and_of_orthogonal_ones():
+    assert plane_quality(planes(LshConfig(tables=2, bits=1, dimension=8))) == [(0, 0.0, 0.0, 1.0, True), (1, 0.0, 0.0, 1.0, True)]
+    for _, mean, most, diversity, orthogonal in plane_quality(planes(LshConfig(tables=2, bits=8, dimension=8, orthogonal=True))):
+        assert most < 1e-6 and diversity == 1.0 - mean and orthogonal
+    assert not plane_quality(planes(LshConfig(tables=1, bits=16, dimension=8)))[0][4]
+
+
+def test_occupancy_and_fill_of_buckets(spark):
+    config = LshConfig(tables=2, bits=2, dimension=2, bucket_rows=2)
+    v = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(5)], "block_id long, embedding array<double>")
+    index = I.CloneIndex.build(v, config)
+    assert index.occupancy().first().asDict() == {"total_buckets": 2, "load_factor": 5.0, "avg_bucket_size": 5.0}
+    assert index.clear().occupancy().first().asDict() == {"total_buckets": 0, "load_factor": 0.0, "avg_bucket_size": 0.0}
+    assert sorted((r.tbl, r.primary_rows, r.overflow_rows) for r in I.bucket_fill(index.buckets, config).collect()) == [(0, 2, 3), (1, 2, 3)]
+
+
+def test_clones_at_places(spark):
+    blocks = spark.createDataFrame([(1, "a", 1, 9), (2, "a", 1, 9), (3, "a", 10, 12), (4, "b", 1, 9)], "block_id long, file_path string, start_line int, end_line int")
+    members = spark.createDataFrame([(1, 1), (1, 2), (1, 4)], "cluster_id long, block_id long")
+    assert {tuple(r) for r in C.clones_at(members, blocks).collect()} == {("a", 1, 9, 2), ("b", 1, 9, 1)}
