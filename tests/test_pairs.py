@@ -98,3 +98,8 @@ def test_no_pair_is_shuffled(spark):
     assert "Exchange" not in plan(queries.QUERIES["d04_table_match_filter"](spark, SF))
     assert "Exchange" not in plan(queries.QUERIES["e07_lsh_self_join"](spark, SF))
     assert "Join" not in plan(queries.QUERIES["g06_topk_per_source"](spark, SF))
+
+
+def test_brute_force_by_blocks(spark):
+    for name in ("f16_report", "c25_cosine_pairs"):
+        assert "zip_with" not in plan(queries.QUERIES[name](spark, SF)) and "NestedLoop" not in plan(queries.QUERIES[name](spark, SF)), name
