@@ -112,3 +112,9 @@ def test_numbered(spark):
     assert [r.id for r in sorted(got, key=lambda r: r.row)] == sorted(range(5000), key=lambda i: (i % 13, i))
     assert sorted(r.row for r in got) == list(range(1, 5001))
     assert "SinglePartition" not in plan(queries.QUERIES["h07_report_rows"](spark, SF)).split("Broadcast")[0]
+
+
+def test_clusters_compare_pairs_once(monkeypatch, spark):
+    calls = []
+    monkeypatch.setattr(queries, "block_pairs", lambda *a: calls.append(1) or P.block_pairs(*a))
+    assert queries.QUERIES["m05_clusters"](spark, SF).count() and calls == [1]
