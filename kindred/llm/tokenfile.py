@@ -11,7 +11,7 @@ into up to ``LANES`` runs of ids, each with words of its own; numpy takes a step
 and the model learns from all runs.
 
 File format: a file is a run of segments. A segment has a header (magic, counts), the doc_ids and id counts of its documents
-in order, its blocks (ids, runs, words, CRC-32; the words of each run; the words), a CRC-32 of all before, and the end mark. A
+in order, its blocks (ids, runs, words, CRC-32, different ids; those ids; the words of each run; the words), a CRC-32 of all before, and the end mark. A
 document lies in one segment. Files are written by Spark's committed text writer with the end mark as record separator, into any file
 system that Spark can write, and read back by its binary source.
 
@@ -36,61 +36,84 @@ from kindred.llm.worker import give_back
 from kindred.session import cut, delete_path, scratch_path, ship
 
 #: Ids of a block, most lanes of a block, fewest ids of a lane, documents' ids of a segment, segments of a file.
-BLOCK, LANES, LANE_IDS, SEGMENT_IDS, FILE_SEGMENTS = 1 << 21, 4096, 128, 1 << 21, 8
+BLOCK, LANES, LANE_IDS, SEGMENT_IDS, FILE_SEGMENTS = 1 << 22, 12288, 256, 1 << 22, 4
+#: Pieces of a generation of the tokeniser's cache, about 120 MB: a piece that isn't kept costs ten times one that is.
+PIECES = 600_000
 #: Different ids, slots of the order-2 table, and the highest confidence of a table's entry.
 IDS, SLOTS, SURE = 1 << 16, 1 << 18, 7
 #: Bits of a probability, gain of an id's frequency at each meeting, most that frequencies may sum to, steps between sums.
 UNIT, GAIN, MOST, REFRESH = 28, 48, 1 << 22, 8
-MAGIC, END_MARK = b"KTB2", b"KEND"
-_HEAD, _BLOCK = struct.Struct("<4sIQI"), struct.Struct("<IIII")
+#: Bits of the place in order 0's table that finds most ids at once when reading.
+PLACES = 14
+MAGIC, END_MARK = b"KTB3", b"KEND"
+_HEAD, _BLOCK = struct.Struct("<4sIQI"), struct.Struct("<IIIII")
 _U = np.uint64
 
 
+#: What a hit or a miss adds to an entry, by how sure it is; a miss that leaves it without confidence is dealt with apart.
+_CHANGE = np.array([[-(2 << 16), (c < SURE) << 16] for c in range(SURE + 1)], np.int64).ravel()
+
+
 class _Model:
     """What a block's lanes share: predictions of orders 2, 1 and 0, how far each is to be trusted, and their updates."""
 
-    def __init__(self):
-        self.frequency = np.ones(IDS, np.int64)
+    def __init__(self, ids: int, reads: bool = False):
+        self.frequency, self.reads = np.ones(ids, np.int64), reads
         # Entries: the id that is expected, and above 16 bits how sure that is.
-        self.one, self.two = np.zeros(IDS, np.int64), np.zeros(SLOTS, np.int64)
+        self.one, self.two = np.zeros(ids, np.int64), np.zeros(SLOTS, np.int64)
         # Outcomes (order 2 right, order 1 right, neither) by both confidences and whether the two expect the same.
         self.outcomes = np.tile(np.array([2, 1, 3], np.int64), (2 * (SURE + 1) ** 2, 1))
         self.met: list[np.ndarray] = []
+        self.seen: list[np.ndarray] = []
         self.steps, self.due = 0, 1
         self._sum()
 
     def _sum(self) -> None:
         """Bring frequencies and weights up to date."""
         if self.met:
-            self.frequency += np.bincount(np.concatenate(self.met), minlength=IDS) * GAIN
+            self.frequency += np.bincount(np.concatenate(self.met), minlength=len(self.frequency)) * GAIN
             self.met = []
             while int(self.frequency.sum()) > MOST:
                 self.frequency = (self.frequency + 1) >> 1
-        self.cumulative = np.concatenate([[0], np.cumsum(self.frequency)])
-        self.total = int(self.cumulative[-1])
+        # In parts of 2 ** UNIT, so that no id needs a division: the least share, 63 parts of a 32nd, is still above one.
+        self.upto = np.zeros(len(self.frequency) + 1, np.int64)
+        np.cumsum(self.frequency, out=self.upto[1:])
+        self.upto = (self.upto << UNIT) // self.upto[-1]
+        if self.reads:
+            first = (self.upto + (1 << (UNIT - PLACES)) - 1) >> (UNIT - PLACES)
+            self.at_place = np.append(np.repeat(np.arange(len(self.frequency)), np.diff(first)), len(self.frequency) - 1)
+        if self.seen:
+            self.outcomes += np.bincount(np.concatenate(self.seen), minlength=self.outcomes.size).reshape(self.outcomes.shape)
+            self.seen = []
         old = self.outcomes.sum(axis=1) > 1 << 15
         self.outcomes[old] = (self.outcomes[old] + 1) >> 1
         # A 32nd stays for order 0, so that each id has a share.
         shares = np.cumsum(self.outcomes, axis=1) * ((1 << UNIT) - (1 << (UNIT - 5))) // self.outcomes.sum(axis=1)[:, None]
         self.upto2, self.upto1 = np.ascontiguousarray(shares[:, 0]), np.ascontiguousarray(shares[:, 1])
+        shares[:, 2] = 1 << UNIT
+        self.sizes = np.diff(shares, axis=1, prepend=0).ravel()
+        self.starts = shares.ravel() - self.sizes
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> None:
-        self.at1, self.at2 = last, (last * 40503 + before * 30011 + (before >> 3)) & (SLOTS - 1)
+        self.at1, self.at2 = last, (last * 40503 + before * 30011) & (SLOTS - 1)
         self.e1, self.e2 = self.one[last], self.two[self.at2]
         self.p1, self.p2 = self.e1 & (IDS - 1), self.e2 & (IDS - 1)
-        self.bin = ((self.e2 >> 16) * (SURE + 1) + (self.e1 >> 16)) * 2 + (self.p1 == self.p2)
-        self.f2, self.f12 = self.upto2[self.bin], self.upto1[self.bin]
+        self.c1, self.c2 = self.e1 >> 16 << 1, self.e2 >> 16 << 1
+        self.bin = self.c2 * (SURE + 1) + self.c1 + (self.p1 == self.p2)
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
         """0 where order 2 is right, else 1 where order 1 is, else 2."""
         self.hit2, self.hit1 = self.p2 == ids, self.p1 == ids
-        return np.where(self.hit2, 0, 2 - self.hit1)
+        return (2 - self.hit1) * ~self.hit2
 
     def update(self, ids: np.ndarray, which: np.ndarray) -> None:
-        self.outcomes += np.bincount(self.bin * 3 + which, minlength=self.outcomes.size).reshape(self.outcomes.shape)
-        for table, at, entry, id_, hit in ((self.two, self.at2, self.e2, self.p2, self.hit2), (self.one, self.at1, self.e1, self.p1, self.hit1)):
-            table[at] = np.where(hit, np.minimum(entry + (1 << 16), id_ | (SURE << 16)), np.where(entry >= 2 << 16, entry - (2 << 16), ids))
-        self.met.append(ids[which == 2])
+        self.seen.append(self.kind)
+        for table, at, entry, sure, hit in ((self.two, self.at2, self.e2, self.c2, self.hit2), (self.one, self.at1, self.e1, self.c1, self.hit1)):
+            new = entry + _CHANGE[sure + hit]
+            lost = np.flatnonzero(new < 0)
+            new[lost] = ids[lost]
+            table[at] = new
+        self.met.append(ids[self.zero])
         self.steps += 1
         if self.steps >= self.due:
             self._sum()
@@ -98,30 +121,39 @@ class _Model:
 
     def narrow(self, low: np.ndarray, width: np.ndarray, ids: np.ndarray, which: np.ndarray) -> None:
         """Take each lane's interval to that of its id."""
-        start = np.where(which == 0, 0, self.f2)
-        size = np.where(which == 0, self.f2, self.f12 - self.f2)
-        zero = np.flatnonzero(which == 2)
-        x, f12 = ids[zero], self.f12[zero]
-        rest = (1 << UNIT) - f12
-        a, b = rest * self.cumulative[x] // self.total, rest * self.cumulative[x + 1] // self.total
-        start[zero], size[zero] = f12 + a, b - a
+        self.zero = zero = np.flatnonzero(which == 2)
+        self.kind = self.bin * 3 + which
+        start, size = self.starts[self.kind], self.sizes[self.kind]
+        x, rest = ids[zero], size[zero]
+        a = rest * self.upto[x] >> UNIT
+        start[zero] += a
+        size[zero] = (rest * self.upto[x + 1] >> UNIT) - a
         unit = width >> _U(UNIT)
-        low += start.astype(_U) * unit
-        np.multiply(unit, size.astype(_U), out=width)
+        low += start.view(_U) * unit
+        np.multiply(unit, size.view(_U), out=width)
 
     def read(self, value: np.ndarray) -> np.ndarray:
         """The id in whose interval each value (of 2 ** UNIT) lies."""
-        ids = np.where(value < self.f2, self.p2, self.p1)
-        zero = np.flatnonzero(value >= self.f12)
-        f12 = self.f12[zero]
-        place = ((value[zero] - f12 + 1) * self.total - 1) // ((1 << UNIT) - f12)
-        ids[zero] = np.searchsorted(self.cumulative, place, "right") - 1
+        ids = np.where(value < self.upto2[self.bin], self.p2, self.p1)
+        f12 = self.upto1[self.bin]
+        zero = np.flatnonzero(value >= f12)
+        f12 = f12[zero]
+        place = (((value[zero] - f12 + 1) << UNIT) - 1) // ((1 << UNIT) - f12)
+        # Most places of the table lie within one id.
+        k = place >> (UNIT - PLACES)
+        found = self.at_place[k]
+        more = np.flatnonzero(self.upto[found + 1] <= place)
+        found[more] = np.searchsorted(self.upto, place[more], "right") - 1
+        ids[zero] = found
         return ids
 
 
 def _settled(low: np.ndarray, width: np.ndarray, active: np.ndarray) -> np.ndarray:
     """Of the lanes ``active``, those that must shift out a word now; a straddling narrow interval is cut short."""
-    lo, wi = low[active], width[active]
+    wi = width[active]
+    short = np.flatnonzero(wi <= _U(1 << 48))
+    active, wi = active[short], wi[short]
+    lo = low[active]
     same = (lo ^ (lo + wi - _U(1))) < _U(1 << 48)
     narrow = (wi < _U(1 << 32)) & ~same
     if narrow.any():
@@ -136,13 +168,13 @@ def _lanes(n: int) -> tuple[int, int]:
     return -(-n // each), each
 
 
-def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit words of all lanes, words of each lane) of a block of ids."""
+def encode_block(ids: np.ndarray, most: int = IDS) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit words of all lanes, words of each lane) of a block of ids below ``most``."""
     lanes, each = _lanes(len(ids))
     grid = np.zeros(lanes * each, np.int64)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, each).T)
-    model, all_ = _Model(), np.arange(lanes)
+    model, all_ = _Model(most), np.arange(lanes)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     owners, words = [], []
@@ -167,7 +199,7 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=lanes)
 
 
-def decode_block(words: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
+def decode_block(words: np.ndarray, counts: np.ndarray, total: int, most: int = IDS) -> np.ndarray:
     """The ids of a block coded by ``encode_block``."""
     lanes, each = _lanes(total)
     if len(counts) != lanes:
@@ -175,7 +207,7 @@ def decode_block(words: np.ndarray, counts: np.ndarray, total: int) -> np.ndarra
     words = np.append(words, np.zeros(1, "<u2")).astype(_U)
     stop = np.cumsum(counts)
     at = stop - counts
-    model, all_ = _Model(), np.arange(lanes)
+    model, all_ = _Model(most, True), np.arange(lanes)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     code = np.zeros(lanes, _U)
 
@@ -215,8 +247,12 @@ def write_segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     blocks = [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
     parts = [_HEAD.pack(MAGIC, len(doc_ids), len(ids), len(blocks)), names.tobytes(), known.tobytes(), counts.astype("<u8").tobytes()]
     for own in blocks:
-        words, each = encode_block(own)
-        parts += [_BLOCK.pack(len(own), len(each), len(words), zlib.crc32(own.astype("<u4"))), each.astype("<u2").tobytes(), words.tobytes()]
+        # Ids are coded by their place among those of the block: its tables are short.
+        used = np.flatnonzero(np.bincount(own, minlength=IDS))
+        rank = np.zeros(IDS, np.int64)
+        rank[used] = np.arange(len(used))
+        words, each = encode_block(rank[own], len(used))
+        parts += [_BLOCK.pack(len(own), len(each), len(words), zlib.crc32(own.astype("<u4")), len(used)), used.astype("<u2").tobytes(), each.astype("<u2").tobytes(), words.tobytes()]
     body = b"".join(parts)
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -235,9 +271,11 @@ def read_segments(raw: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         at += 17 * n
         coded = []
         for _ in range(blocks):
-            size, lanes, words, check = _BLOCK.unpack_from(raw, at)
+            size, lanes, words, check, known_ids = _BLOCK.unpack_from(raw, at)
             at += _BLOCK.size
-            coded.append((np.frombuffer(raw, "<u2", words, at + 2 * lanes), np.frombuffer(raw, "<u2", lanes, at).astype(np.int64), size, check))
+            used = np.frombuffer(raw, "<u2", known_ids, at).astype(np.uint32)
+            at += 2 * known_ids
+            coded.append((np.frombuffer(raw, "<u2", words, at + 2 * lanes), np.frombuffer(raw, "<u2", lanes, at).astype(np.int64), size, check, used))
             at += 2 * (lanes + words)
         if struct.unpack_from("<I", raw, at)[0] != zlib.crc32(raw[begin:at]):
             raise ValueError("segment fails its checksum")
@@ -246,8 +284,8 @@ def read_segments(raw: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
             raise ValueError("segment lacks its end mark")
         at += len(END_MARK)
         ids = [np.zeros(0, np.uint32)]
-        for words, each, size, check in coded:
-            ids.append(decode_block(words, each, size))
+        for words, each, size, check, used in coded:
+            ids.append(used[decode_block(words, each, size, len(used))])
             if zlib.crc32(ids[-1].astype("<u4")) != check:
                 raise ValueError("block fails its checksum")
         if sum(map(len, ids)) != total:
@@ -260,7 +298,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = 0, vocabulary: str | Non
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(vocabulary)
+        encoder = Encoder.of(vocabulary, PIECES)
         names: list = []
         parts: list[np.ndarray] = []
         counts: list[np.ndarray] = []

@@ -22,6 +22,8 @@ from kindred.llm.worker import CACHES
 CACHE_PIECES, CACHE_CHARS = 200_000, 48
 #: White space other than space and newline, as the cutting rule must see it.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+#: Spaces and newlines side by side.
+ADJACENT = ("  ", " \n", "\n ", "\n\n")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters, then marks other than the apostrophe: two parts of the vocabulary's splitting pattern.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -43,9 +45,10 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes texts to numpy arrays of ids; one per Python worker and vocabulary."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, pieces: int = CACHE_PIECES):
+        self._most = pieces
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,12 +63,12 @@ class Encoder:
         self._clear()
 
     @classmethod
-    def of(cls, vocabulary: str | None = None) -> Encoder:
-        vocabulary = vocabulary or default_vocabulary()
-        if vocabulary not in cls._made:
-            cls._made[vocabulary] = cls(vocabulary)
+    def of(cls, vocabulary: str | None = None, pieces: int = CACHE_PIECES) -> Encoder:
+        key = vocabulary or default_vocabulary(), pieces
+        if key not in cls._made:
+            cls._made[key] = cls(*key)
         CACHES["tokens"] = cls._made.clear
-        return cls._made[vocabulary]
+        return cls._made[key]
 
     def _clear(self) -> None:
         self._flat, self._ends = array("I"), array("q", [0])
@@ -73,15 +76,11 @@ class Encoder:
 
     def _turn(self) -> None:
         """Begin a new generation: this one becomes the old one, and the ids of what only the last one held go."""
-        inner, first = self._inner, self._first
-        ends = np.frombuffer(self._ends, np.int64)
-        where = np.array([*inner.values(), *first.values()], np.int64)
-        starts, lengths = ends[where], ends[where + 1] - ends[where]
-        after = np.cumsum(lengths)
-        flat = np.frombuffer(self._flat, np.uint32)[np.repeat(starts - (after - lengths), lengths) + np.arange(int(after[-1]) if len(after) else 0)]
-        del ends
-        self._flat, self._ends = array("I", flat.tobytes()), array("q", np.concatenate([[0], after]).astype(np.int64).tobytes())
-        self._inner, self._first = _Places(self, " ", dict(zip(inner, range(len(inner))))), _Places(self, "", dict(zip(first, range(len(inner), len(where)))))
+        old = self._inner, self._first
+        self._inner, self._first = (_Places(self, lead, was, self._flat, self._ends) for lead, was in zip((" ", ""), old, strict=True))
+        for was in old:
+            was.forget()
+        self._flat, self._ends = array("I"), array("q", [0])
 
     def _add(self, piece: str) -> int:
         """Encode one piece and give its place among the kept ones."""
@@ -93,14 +92,16 @@ class Encoder:
                 word = word.encode().decode("latin-1").translate(self._letters)
             if lead == " ":
                 word = self._space + word
-            ids = [t.id for t in self._model.tokenize(word)]
+            ids = self._inner.known(m[1]) if lead == " " else None
+            if ids is None:
+                ids = [t.id for t in self._model.tokenize(word)]
             if lead == "\n":
                 ids = self._newline + ids
+            self._flat.extend(ids)
             if marks:
-                ids += self._marks[marks]
+                self._flat.extend(self._marks[marks])
         else:
-            ids = self._full.encode(piece, add_special_tokens=False).ids
-        self._flat.extend(ids)
+            self._flat.extend(self._full.encode(piece, add_special_tokens=False).ids)
         self._ends.append(len(self._flat))
         return len(self._ends) - 2
 
@@ -112,7 +113,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts one after another, and n + 1 offsets; ``end`` closes each text."""
-        if len(self._inner) + len(self._first) > CACHE_PIECES or len(self._flat) > 32 * CACHE_PIECES:
+        if len(self._inner) + len(self._first) > self._most or len(self._flat) > 32 * self._most:
             self._turn()
         places: list[int] = []
         counts = []
@@ -124,7 +125,7 @@ class Encoder:
         for text in texts:
             was = len(places)
             if text:
-                if any(c in text for c in OTHER_SPACE) or len(text.split()) - 1 != text.count("\n") + text.count(" "):
+                if text[0] in " \n" or text[-1] in " \n" or any(c in text for c in ADJACENT) or any(c in text for c in OTHER_SPACE):
                     pieces = _CUT.split(text)
                 else:  # white space is single spaces and newlines between other characters: a newline opens a piece too
                     pieces = text.replace("\n", " \n").split(" ")
@@ -146,13 +147,27 @@ class Encoder:
 class _Places(dict):
     """piece -> place of its ids in this generation; takes a missing piece over from the old one, or encodes it with the given lead."""
 
-    def __init__(self, owner: Encoder, lead: str, old: dict[str, int] | None = None):
-        self._owner, self._lead, self._old = owner, lead, old or {}
+    def __init__(self, owner: Encoder, lead: str, old: _Places | None = None, flat: array | None = None, ends: array | None = None):
+        self._owner, self._lead = owner, lead
+        self._old, self._old_flat, self._old_ends = old or {}, flat, ends
+
+    def forget(self) -> None:
+        self._old, self._old_flat, self._old_ends = {}, None, None
+
+    def known(self, piece: str) -> array | None:
+        """The ids of a piece that either generation holds."""
+        place, flat, ends = self.get(piece), self._owner._flat, self._owner._ends
+        if place is None:
+            place, flat, ends = self._old.get(piece), self._old_flat, self._old_ends
+        return None if place is None else flat[ends[place] : ends[place + 1]]
 
     def __missing__(self, piece: str) -> int:
         place = self._old.get(piece)
         if place is not None:
-            self[piece] = place
+            owner, ends = self._owner, self._old_ends
+            owner._flat.extend(self._old_flat[ends[place] : ends[place + 1]])
+            owner._ends.append(len(owner._flat))
+            self[piece] = place = len(owner._ends) - 2
             return place
         if piece.isascii() and piece.isalpha() and self._lead:
             place = self._owner._add_word(piece)

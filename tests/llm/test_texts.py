@@ -1,6 +1,7 @@
 """Scans, tags, features and models over text against brute force, exact round trips and held-out samples."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from kindred.llm import language, media, packing, pii, secrets, tokenfile, vectors, words
-from kindred.llm.tokens import Encoder, groups_by_size
+from kindred.llm.tokens import Encoder, default_vocabulary, groups_by_size
 
 ODD = ["", " ", "\n\t ", "a", "A b", "  lead and  double\n\nlines ", "é ü ß naïve Ünï", "日本 語 テキスト", "x" * 3000, "a b " * 2000, "a\tb\x0bc\x0cd\re", "don't I'll we've", "12 345,6 <|endoftext|> !!", "a\x1cb\xa0c d"]
 
@@ -270,6 +271,27 @@ def test_range_coder_beats_deflate_on_documents():
     assert 2 * (len(words) + len(counts)) / len(ids) < min(0.9 * deflated, entropy)
 
 
+def test_segments_code_ids_by_their_place_among_those_used(monkeypatch):
+    real, seen = tokenfile.encode_block, []
+    monkeypatch.setattr(tokenfile, "encode_block", lambda ids, *most: seen.append((int(ids.max()), *most)) or real(ids, *most))
+    ids = np.random.default_rng(6).choice(np.array([7, 50000, 65535], np.uint32), 4000)
+    seg = tokenfile.write_segment([1], np.array([4000]), ids) + tokenfile.END_MARK
+    assert seen == [(2, 3)]  # tables of three ids, not of 65,536
+    assert [x[2].tolist() for x in tokenfile.read_segments(seg)] == [ids.tolist()]
+
+
+def test_pieces_of_either_generation_are_not_encoded_again():
+    encoder, calls = Encoder(default_vocabulary(), 1000), []
+    add = encoder._add_word
+    encoder._add_word = lambda word: calls.append(word) or add(word)
+    words_ = ["".join(c) for c in itertools.islice(itertools.product("abcdefghij", repeat=4), 1500)]
+    first = encoder.encode(["x " + " ".join(words_)])[0].tolist()
+    for _ in range(3):  # each begins a new generation
+        assert encoder.encode(["x " + " ".join(words_)])[0].tolist() == first
+    assert len(calls) == 1500
+    assert encoder.encode(["x " + "? ".join(words_[:50]) + "?"])[0].tolist() == encoder._full.encode("x " + "? ".join(words_[:50]) + "?", add_special_tokens=False).ids
+
+
 def test_damaged_segments_are_noticed():
     seg = tokenfile.write_segment([1, None], np.array([3, 2]), np.array([1, 2, 0, 9, 0], np.uint32)) + tokenfile.END_MARK
     assert [(a, b.tolist(), c.tolist()) for a, b, c in tokenfile.read_segments(seg)] == [([1, None], [3, 2], [1, 2, 0, 9, 0])]
