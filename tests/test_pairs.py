@@ -149,3 +149,17 @@ def test_clusters_of_repeated_vectors_equal_their_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     want = sorted(con.execute(queries.ORACLE_SQL["m05_clusters"]).fetchall())
     assert len(want) > 5 and sorted(map(tuple, queries.QUERIES["m05_clusters"](spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize("dense", (0.0, 1 / 30, 1.0))
+def test_wide_vectors_by_a_bound(spark, blocks, monkeypatch, dense):
+    """As by brute force, whether the first components are taken, all, or the rest holds all or nothing."""
+    monkeypatch.setattr(P, "DENSE", dense)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((20, 200))
+    v = [base[k % 20] + 0.5 * rng.standard_normal(200) for k in range(120)]
+    v += [np.r_[np.zeros(P.HEAD), x[P.HEAD :]] for x in v[:10]] + [np.r_[x[: P.HEAD], np.zeros(200 - P.HEAD)] for x in v[:10]] + [np.zeros(200)] * 2
+    wide = [(k, x.astype(np.float32).tolist()) for k, x in enumerate(v)]
+    got = P.block_pairs(spark.createDataFrame(wide, "block_id long, embedding array<float>"), 0.75).collect()
+    want = brute(wide, 0.75)
+    assert {(r.source_id, r.target_id): r.similarity for r in got} == want and 100 < len(want) < 5000

@@ -1,11 +1,17 @@
 """Clone reports over documents with near copies, against all pairs of the engine's vectors."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.engine import CloneEngine
+from kindred.functions import terms
+from kindred.functions.tokenizer import tokenize
+from kindred.operators import embed as E
+from kindred.operators.embed import coded_texts
 from kindred.plans import queries as P
 
 REPORTS = "f13_scan_summary f13_by_type f14_clones_by_file f15_clones_at f17_clone_ratio f18_ci_gate e10_clusters_for_file e11_star_pairs d15_report_filter".split()
@@ -82,3 +88,41 @@ def test_near_copies_are_counted(spark, docs, brute):
     near = P.QUERIES["f13_scan_summary"](spark, folder).first()
     assert near.clone_pairs > 3 * exact.clone_pairs > 0
     assert {r.clone_type for r in P.QUERIES["f13_by_type"](spark, folder).collect()} >= {"type-2", "type-3"}
+
+
+def test_texts_are_tokenised_once_and_no_pair_is_missed(spark, docs, brute, monkeypatch):
+    """Of one part read, texts go to several tasks, each different one once; the clusters need no index and are those of all pairs."""
+    folder, rows = docs
+    seen = []
+
+    def spied(texts, parts):
+        chunks = coded_texts(texts, parts)
+        seen.append((texts.count(), chunks.count()))
+        return chunks
+
+    monkeypatch.setattr(E, "coded_texts", spied)
+    monkeypatch.setattr(CloneEngine, "index_blocks", None)
+    twice = P.blocks_of(spark, folder)
+    twice = twice.unionByName(twice.withColumn("block_id", twice.block_id + 1000)).unionByName(twice.limit(1).withColumn("block_id", F.lit(None).cast("long")))
+    _, members, found = CloneEngine(spark).clone_clusters(twice, written=True)
+    got = {r.block_id: r.cluster_id for r in members.collect()}
+    assert len(seen) == 1 and seen[0][0] == len({r[1:3] for r in rows}) and seen[0][1] > 1
+    assert set(got) == {r[0] + k for r in rows for k in (0, 1000)} and all(got[i] == got[i + 1000] for i, *_ in rows)
+    assert all(got[i] == c for i, c in brute[0].items())
+    assert {r.cluster_id: r["size"] for r in found.collect()} == Counter(got.values())
+
+
+def test_copies_count_in_frequencies(spark):
+    texts = [(1, "alpha beta gamma", "en", 3), (2, "alpha delta", "en", 1), (3, "beta", "de", 2), (4, None, "en", 5)]
+    coded = E.coded_texts(spark.createDataFrame(texts, "block_id long, content string, language string, copies long"), 2)
+    each = [(10 * i + k, t, g) for i, t, g, n in texts for k in range(n)]
+    want = E.text_frequencies(spark.createDataFrame(each, "block_id long, content string, language string"))
+    assert sorted(E.coded_frequencies(coded).collect()) == sorted(want.collect())
+
+
+def test_names_are_split_as_by_the_scanner():
+    for language in ("typescript", "python"):
+        memo = terms._Memo(language)
+        for token in ("fooBar", "HTTPServer", "a_b_cd", "class", "self", "x", "_", "$el", "ab1", "A", "12", "'s'", "// Some words", "==", "{"):
+            keys = [f"{t}:{v}" for v, t in tokenize(token, language)]
+            assert memo[token] == tuple(int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "little", signed=True) for k in keys), token
