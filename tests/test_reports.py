@@ -95,8 +95,8 @@ def test_texts_are_tokenised_once_and_no_pair_is_missed(spark, docs, brute, monk
     folder, rows = docs
     seen = []
 
-    def spied(texts, parts):
-        chunks = coded_texts(texts, parts)
+    def spied(texts):
+        chunks = coded_texts(texts)
         seen.append((texts.count(), chunks.count()))
         return chunks
 
@@ -114,7 +114,7 @@ def test_texts_are_tokenised_once_and_no_pair_is_missed(spark, docs, brute, monk
 
 def test_copies_count_in_frequencies(spark):
     texts = [(1, "alpha beta gamma", "en", 3), (2, "alpha delta", "en", 1), (3, "beta", "de", 2), (4, None, "en", 5)]
-    coded = E.coded_texts(spark.createDataFrame(texts, "block_id long, content string, language string, copies long"), 2)
+    coded = E.coded_texts(spark.createDataFrame(texts, "block_id long, content string, language string, copies long"))
     each = [(10 * i + k, t, g) for i, t, g, n in texts for k in range(n)]
     want = E.text_frequencies(spark.createDataFrame(each, "block_id long, content string, language string"))
     assert sorted(E.coded_frequencies(coded).collect()) == sorted(want.collect())
